@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import oracles
 from quarry.llm._spark import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substring_dedup import substring_dedup
+
+    rows = substring_dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_rules
 
@@ -39,5 +47,5 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontamination, op7_sharding, op8_quality_rules, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op9_mixing)}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op6_decontamination": oracles.OP6, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9}
