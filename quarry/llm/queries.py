@@ -47,5 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op6_decontamination": oracles.OP6, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op9_mixing, op10_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op6_decontamination": oracles.OP6, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9, "op10_near_dedup": oracles.OP10}
