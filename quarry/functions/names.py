@@ -17,6 +17,11 @@ _SKIPPED_LEADS = sorted("a async class const crate def enum export extern fn fun
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas would otherwise compute an inlined column for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(name: Column) -> Column:
     """Lower-case words of an identifier, split at separators, digits and camel humps; get, set, the, a go."""
     parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("[0-9]+|[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])"), F.lit(0))
@@ -42,9 +47,13 @@ def code_tokens(body: Column) -> Column:
 
 def shingles(tokens: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` tokens; all tokens as one if there are fewer; none for none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    short = F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(tokens, " ")))
-    return F.when(F.size(tokens) >= size, F.array_distinct(runs)).otherwise(short)
+
+    def made(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), " "))
+        short = F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(t, " ")))
+        return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(short)
+
+    return let(tokens, made)
 
 
 def bucket_key(name: Column, tokens: Column) -> Column:
