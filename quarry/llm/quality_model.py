@@ -42,14 +42,18 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 NAMES = tuple(f"f{i}" for i in range(7))
 
 
-def fit(labelled: DataFrame, text: str, label: str, key: str) -> tuple[float, list[tuple[list[float], list[float]]]]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> tuple[float, list[tuple[list[float], list[float]]]]:
     """Log prior odds, and for each feature its bin edges and the log likelihood ratio of each bin.
 
     Bins are quantiles of at most SAMPLE labelled rows, taken by hash; ratios are Laplace-smoothed and
-    bounded. Only the sample's features reach the driver, never its texts.
+    bounded. The sample is drawn from the label table first, so texts don't move: at most SAMPLE
+    ids and labels are broadcast, and only the sample's features reach the driver.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(key)).limit(SAMPLE)
-    got = features(rows, text).select(*NAMES, F.col(label).cast("int").alias("y")).collect()
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).filter("_id is not null and y is not null").groupBy("_id").agg(F.max("y").alias("y"))
+    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = features(rows, "_text").select(*NAMES, "y", F.xxhash64("_id", "_text").alias("_h"))
+    got = rows.orderBy("_h").limit(SAMPLE).collect()  # ids that repeat in the table give more rows than the sample has
     good = sum(r["y"] for r in got)
     bad = len(got) - good
     prior = math.log((good + 1) / (bad + 1))
@@ -90,8 +94,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     null and empty texts have the evidence of empty texts; without labels all evidence is 0. Repeated rows
     count each time; an empty table gives an empty one.
     """
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")), "_id")
-    prior, tables = fit(known, "_text", "_y", "_id")
+    prior, tables = fit(docs, labels, id_col, text, label)
     scored = features(docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(text).alias("text")))
     scored = materialize(scored.select("id", "host", "path", evidence(tables).alias("evidence")), "evidence")
     p = _logistic(F.col("evidence") + prior)
