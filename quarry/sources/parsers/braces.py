@@ -155,7 +155,7 @@ class _Walk:
         while i < hi:
             t = s.tokens[i]
             member = s.is_(i - 1, ".", "?.")
-            if t.kind == "word" and not member and t.text == "if":
+            if t.kind == "word" and not member and t.text == "if" and not (self.rust and self._guard(i, hi)):
                 i = self._if(i, hi, nest)
                 continue
             if t.kind == "word" and not member and t.text in ("for", "while", "loop", "match", "switch", "catch") and (self.rust or t.text not in ("loop", "match")) and not s.is_(i + 1, ":", "<"):
@@ -192,6 +192,13 @@ class _Walk:
             i = self._if(i + 1, hi, nest + 1) if s.is_(i + 1, "if") else self._block(i + 1, hi, nest + 1)
         return i
 
+    def _guard(self, i: int, hi: int) -> bool:
+        """An if between a match arm's pattern and its arrow."""
+        s = self.scan
+        while i < hi and not s.is_(i, "{", ",", ";", "=>"):
+            i = s.close(i) + 1 if s.is_(i, "(", "[") else i + 1
+        return s.is_(i, "=>")
+
     def _arms(self, brace: int) -> int:
         s, n, i = self.scan, 0, brace + 1
         end = s.close(brace)
@@ -244,8 +251,10 @@ def _calls(scan: Scan, lo: int, hi: int, owner: str, out: Extracted) -> None:
         k = j  # back to the start of the callee
         while k > lo and (scan.is_(k - 1, ".", "::", "?.") or (scan.is_(k, ".", "::", "?.") and (scan.tokens[k - 1].kind in ("word", "number", "string") or scan.is_(k - 1, ")", "]", "?", ">")))):
             k -= 1
-            if scan.is_(k, ")", "]") and k in scan.pair:
+            while scan.is_(k, ")", "]") and k in scan.pair:
                 k = scan.pair[k]
+                if k > lo and (scan.tokens[k - 1].kind == "word" and scan.tokens[k - 1].text not in keywords or scan.is_(k - 1, ")", "]")):
+                    k -= 1
         if name := call_name(scan.cut(k, i - 1)):
             out.calls.append({"owner": owner, "callee": name})
 
@@ -267,14 +276,16 @@ def _count_parameters(scan: Scan, open_: int) -> int:
     return n
 
 
-def _finish(scan: Scan, out: Extracted, start: int, end: int, name: str, rust: bool, **more) -> None:
+def _finish(scan: Scan, out: Extracted, start: int, end: int, name: str, rust: bool, inner: int | None = None, **more) -> None:
+    """Adds a symbol and its calls; inner is the first token after the name, which is no call."""
+    inner = start if inner is None else inner
     walk = _Walk(scan, name, rust)
-    walk.run(start, end + 1, 0)
-    extra = _logic(scan, start, end + 1)
+    walk.run(inner, end + 1, 0)
+    extra = _logic(scan, inner, end + 1)
     out.symbols.append(
         Symbol(name=name, start_line=scan.line(scan.tokens[start].start), end_line=scan.line(scan.tokens[end].end - 1), body=scan.cut(start, end), cyclomatic=walk.cyclomatic + extra, cognitive=walk.cognitive + extra, nesting=walk.deepest, **more)
     )
-    _calls(scan, start, end + 1, name, out)
+    _calls(scan, inner, end + 1, name, out)
 
 
 def parse_rust(text: str) -> Extracted:
@@ -309,7 +320,7 @@ def parse_rust(text: str) -> Extracted:
                 body = scan.cut(start, end)
                 if scan.is_(k, "{"):
                     _finish(
-                        scan, out, start, end, name, True, kind="function", signature=body.split("{")[0].strip()[:240], docstring=scan.comment_before(start), nargs=_count_parameters(scan, open_), is_public=public or name == "main",
+                        scan, out, start, end, name, True, open_, kind="function", signature=body.split("{")[0].strip()[:240], docstring=scan.comment_before(start), nargs=_count_parameters(scan, open_), is_public=public or name == "main",
                         is_entry=name == "main" or "main]" in attributes, is_test="test]" in attributes or "cfg(test)" in attributes or "#[test]" in body or name.startswith("test_") or test_module,
                     )
                 i = end + 1
@@ -378,7 +389,7 @@ def parse_typescript(text: str) -> Extracted:
         end = min(end, n - 1)
         name, body = scan.tokens[name_at].text, scan.cut(start, end)
         _finish(
-            scan, out, start, end, name, False, kind="function", signature=body.split("{")[0].split("=>")[0].strip()[:240], docstring=scan.comment_before(start), nargs=_count_parameters(scan, open_), is_public=not name.startswith("_"),
+            scan, out, start, end, name, False, open_, kind="function", signature=body.split("{")[0].split("=>")[0].strip()[:240], docstring=scan.comment_before(start), nargs=_count_parameters(scan, open_), is_public=not name.startswith("_"),
             is_entry=name in ENTRY_NAMES or name in ("GET", "POST", "PUT", "DELETE"), is_test=name.startswith("test") or name.endswith("Test"),
         )
         return end + 1
