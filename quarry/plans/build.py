@@ -15,6 +15,7 @@ from quarry.functions import tags
 from quarry.operators import clones, dead, embed, graph, history, index, issues, metrics, rank
 from quarry.operators import names as name_health
 from quarry.sources import git, tree
+from quarry.sources.shared import materialize
 
 #: Facts depend on it: another version parses every file anew.
 PARSER_VERSION = "1"
@@ -49,22 +50,25 @@ def read_meta(spark: SparkSession, store: str) -> dict[str, str]:
 
 
 def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git: bool = False, with_embed: bool = True, store: str | None = None) -> dict:
-    """Walks, parses changed files, resolves, tags, ranks and flags; writes the index; returns a summary."""
+    """Walks, parses changed files, resolves, tags, ranks and flags; writes the index; returns a summary.
+
+    Each step is written to the shared folder and read again: plans stay small, and nothing is computed twice.
+    """
     began = time.time()
     root = str(Path(root).resolve())
     store = store or store_path(root)
     meta = read_meta(spark, store)
     fresh = meta.get("parser_version") != PARSER_VERSION or meta.get("schema_version") != SCHEMA_VERSION
     raw = tree.read_tree(spark, root, max_files)
-    walked = index.dedupe_files(tree.files_table(raw)).cache()
+    walked = materialize(index.dedupe_files(tree.files_table(raw)), "walked")
     old_files = load(spark, store, "files") if not fresh else spark.createDataFrame([], schema.FILES)
-    state = index.changes(walked, old_files, fresh).cache()
+    state = materialize(index.changes(walked, old_files, fresh), "state")
     counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
     dirty = state.filter("state = 'dirty'").select("relpath")
     gone = state.filter("state <> 'reused'").select("relpath")
 
     source = raw.join(F.broadcast(dirty), "relpath", "left_semi").join(walked.select("relpath", "language"), "relpath")  # paths of one tree
-    parsed = tree.parse_files(source).cache()
+    parsed = materialize(tree.parse_files(source), "parsed")
     new_symbols = tree.symbols_table(parsed, walked)
     new_calls = graph.attach_calls(new_symbols, tree.owner_calls_table(parsed))
     kept = lambda name, columns: index.without_files(load(spark, store, name), gone).select(*columns)
@@ -76,10 +80,10 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
         calls = calls.unionByName(kept("call_facts", calls.columns))
         imports = imports.unionByName(kept("import_facts", imports.columns))
         ast_nodes = ast_nodes.unionByName(index.without_files(old_files, gone).select("relpath", "ast_nodes"))
-    symbols, calls, imports = symbols.cache(), calls.cache(), imports.cache()
+    symbols, calls, imports = materialize(symbols, "symbols"), materialize(calls, "calls"), materialize(imports, "imports")
     files = walked.join(ast_nodes, "relpath", "left").withColumns({"ast_nodes": F.coalesce("ast_nodes", F.lit(0).cast("long")), "profile_self": F.lit(0.0), "profile_total": F.lit(0.0)})
 
-    edges = graph.resolve_calls(calls, symbols, files).unionByName(graph.resolve_imports(imports, files)).cache()
+    edges = materialize(graph.resolve_calls(calls, symbols, files).unionByName(graph.resolve_imports(imports, files)), "edges")
     full = graph.with_fans(symbols, edges)
     full = full.withColumns({"effects": tags.effects("body"), "risks": tags.risks("name", "signature", "body"), "cost_hint": tags.cost_hint("body")})
     full = name_health.with_fingerprints(full, edges)
@@ -89,11 +93,11 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
         log, reason = git.git_log(spark, root)
         info = {"enabled": not reason} | ({"reason": reason} if reason else {"commits": history.commit_count(log).first()["commits"]})
     files = history.with_history(files, log)
-    pairs = history.coupling(log).cache()
-    files = rank.compute_rank(files, symbols, edges).cache()
+    pairs = materialize(history.coupling(log), "coupling")
+    files = materialize(rank.compute_rank(materialize(files, "files"), symbols, edges), "files")
     empty = F.lit(None).cast("array<float>")
     full = embed.embed_symbols(full, only_missing=False) if with_embed else full.withColumns({c: empty for c in ("embed_sig", "embed_doc", "embed_body")})
-    full = full.cache()
+    full = materialize(full, "full")
     flags = name_health.name_flags(full).unionByName(dead.hollow_symbols(full, files).select("relpath", "ord", F.lit("hollow").alias("kind"), F.col("reason").alias("detail"), F.lit(1.0).alias("score")))
     copies = clones.token_clones(full)
     if with_embed:
@@ -115,7 +119,6 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
         "meta": index.upsert(load(spark, store, "meta"), spark.createDataFrame(list(entries.items()), schema.META)),
     }
     save(tables, store)
-    spark.catalog.clearCache()
     stored = {name: load(spark, store, name) for name in ("files", "symbols", "edges", "clones", "issues", "name_flags")}
     sizes = {r["name"]: r["n"] for r in metrics.table_counts(**stored).collect()}
     kinds = {r["kind"]: r["n"] for r in metrics.kind_counts(stored["name_flags"]).collect()}

@@ -158,7 +158,7 @@ def test_questions(engine, tmp_path):
     dead = {r["name"] for r in engine.dead()["symbols"].collect()}
     assert {"unused_helper", "unusedTs"} <= dead and "load_user" not in dead
     assert {r["reason"] for r in engine.dead()["hollow"].filter("name = 'unused_helper'").collect()} == {"empty_body"}
-    assert [r["name"] for r in engine.rank(3).collect()][0] == "main"
+    assert {"main", "process"} <= {r["name"] for r in engine.rank(3).collect()}
     cut = engine.slice("main")
     assert cut["error"].startswith("ambiguous") and len(cut["candidates"]) == 2 and cut["blast_radius"] == 0
     assert engine.slice("nothing")["error"] == "symbol not found"
