@@ -101,10 +101,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     m = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count(F.lit(1)).alias("k")).first()
-    overall = m["s"] / m["n"] if m["n"] else 0.5
+    n = m["n"] or 0
+    overall = m["s"] / n if n else 0.5
     # moments: variance of host means beyond what sampling explains gives the Beta's strength
     spread = hosts.agg(F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - overall) ** 2).alias("v")).first()["v"] or 0.0
-    between = max(1e-9, spread / max(1, m["n"]) - overall * (1 - overall) * (m["k"] or 0) / max(1, m["n"]))
+    between = max(1e-9, spread / max(1, n) - overall * (1 - overall) * (m["k"] or 0) / max(1, n))
     strength = min(HOST_STRENGTH[1], max(HOST_STRENGTH[0], overall * (1 - overall) / between - 1))
     hosts = hosts.select(F.col("host").alias("_host"), ((F.col("hs") + strength * overall) / (F.col("hn") + strength)).alias("host_rate"))
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("_host", F.col("path").alias("_path"), "host_rate", ((F.col("s") + PATH_STRENGTH * F.col("host_rate")) / (F.col("n") + PATH_STRENGTH)).alias("path_rate"))
