@@ -229,7 +229,7 @@ def brute_contained(docs, items, t=0.8):
         for i, x in docs:
             have = grams(split((x or "").lower()), size) if want else set()
             if want and len(want & have) + 1e-9 >= t * len(want):
-                out[i, item] = max(out.get((i, item), (0, 0)), (len(want & have), len(want)), key=lambda v: v[0] / v[1])
+                out[i, item] = max(out.get((i, item), (0, 1)), (len(want & have), len(want)), key=lambda v: v[0] / v[1])
     return out
 
 
