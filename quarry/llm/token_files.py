@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,14 @@ from pyspark.sql import Window as W
 from quarry.llm import _bytes
 from quarry.llm._spark import materialize, parallelism, shared_dir
 
-#: Distinct words whose ids a Python worker remembers; then it starts afresh. Longer words aren't remembered.
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
+#: Distinct words whose ids a Python worker remembers in each of two generations; longer words aren't remembered.
+CACHED_WORDS, CACHED_BYTES = 550_000, 48
 #: Documents whose words are looked up together.
-_GROUP = 256
+_GROUP = 2500
 _MAGIC = b"QTOK1\0\0\0"
 _HEAD = "<QQQQ"
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[bytes, bytes]] = {}
 
 
 @dataclass(frozen=True)
@@ -37,59 +37,138 @@ class TokenFiles:
     ranks: tuple[int, ...]
 
 
-def _load(path: str):
-    if path not in _tokenizers:
+class _Coder:
+    """Ids of texts as packed bytes. Where the tokenizer drops white space and never joins across it, a text's
+    ids are those of its words in order, and each distinct word is encoded once; other tokenizers see whole texts."""
+
+    _PROBES = ("a b", "The end.\tof it", "x\n\ny, z", "\u00e9t\u00e9 \u00fcber", "it's 12 34")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _known[path] = {}
-    return _tokenizers[path], _known[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.by_words = all(self._ids(t) == [i for w in t.split() for i in self._ids(w)] for t in self._PROBES)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode_each(self, texts: list[str], dtype: str) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_letters(self, cores: list[str], dtype: str) -> list[bytes]:
+        """Words of letters, encoded as one text: each ends with the only token that closes a word."""
+        ids = np.array(self._ids(" ".join(cores)), dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(cores):
+            return self._encode_each(cores, dtype)
+        cuts = (ends * ids.itemsize).tolist()
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def learn(self, new: list[bytes], dtype: str) -> dict[bytes, bytes]:
+        """Ids of words: Latin letters with a full stop or comma at most by their letters, all others as they are."""
+        ascii_ = [w for w in new if w.isalpha()]
+        out = dict(zip(ascii_, self._encode_letters(b" ".join(ascii_).decode().split(" "), dtype), strict=True)) if ascii_ else {}
+        mixed = [w for w in new if not w.isalpha()]
+        texts = b"\n".join(mixed).decode().split("\n") if mixed else []
+        cut = [(t[:-1], t[-1]) if t[-1] in ".," else (t, "") for t in texts]
+        latin = not mixed or max(map(max, texts)) <= "\u00ff"
+        plain = [c.isalpha() and (latin or max(c) <= "\u00ff") for c, _ in cut]
+        cores = list({c for (c, _), ok in zip(cut, plain, strict=True) if ok})
+        ids = dict(zip(cores, self._encode_letters(cores, dtype), strict=True)) if cores else {}
+        other = [t for t, ok in zip(texts, plain, strict=True) if not ok]
+        ids_other = iter(self._encode_each(other, dtype) if other else ())
+        tails = {"": b""} | {t: np.array(self._ids(t), dtype).tobytes() for t in ".,"}
+        out.update((w, ids[core] + tails[tail] if ok else next(ids_other)) for w, (core, tail), ok in zip(mixed, cut, plain, strict=True))
+        return out
+
+    def encode(self, texts: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, end to end, and where each text's ids end; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_words:
+            bodies = self._encode_each(texts.to_pylist(), dtype)
+            joined = np.frombuffer(b"".join(bodies), dtype)
+            return joined, np.cumsum([len(b) // joined.itemsize for b in bodies], dtype=np.int64)
+        lists = pc.ascii_split_whitespace(texts)  # at exactly the six white-space bytes of the word class
+        words, last = lists.values, lists.offsets.to_numpy()[1:]
+        solid = pc.binary_length(words).to_numpy() > 0  # leading and trailing space leave empty words
+        if not solid.all():
+            last = np.concatenate([[0], np.cumsum(solid)])[last]
+            words = words.filter(pa.array(solid))
+        coded = words.dictionary_encode()
+        ids = self._ids_of(coded.dictionary.cast(pa.large_binary()).to_pylist(), dtype)
+        pool = np.frombuffer(b"".join(ids), dtype)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // pool.itemsize
+        at = coded.indices.to_numpy()
+        count = length[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        source = np.repeat((np.cumsum(length) - length)[at] - ends[:-1], count) + np.arange(ends[-1])
+        return pool[source], ends[last]
+
+    def _ids_of(self, words: list[bytes], dtype: str) -> list[bytes]:
+        """Ids of distinct words, from the memory where it has them."""
+        if len(self.known) > CACHED_WORDS:  # words not met for a whole generation go
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            new = [words[i] for i in missing]
+            have = {w: v for w, v in zip(new, map(self.older.get, new), strict=True) if v is not None}
+            if rest := [w for w in new if w not in have]:
+                have |= self.learn(rest, dtype)
+            for i, w in zip(missing, new, strict=True):
+                found[i] = have[w]
+            self.known.update(have)
+            if max(map(len, new)) > CACHED_BYTES:
+                for w in new:
+                    if len(w) > CACHED_BYTES:
+                        del self.known[w]
+        return found
 
 
-def _tokenize(path: str, end_id: int, dtype: str):
-    """Ids of whole texts, assembled from the ids of their words.
+def _load(path: str) -> _Coder:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Coder(path)
+    return _tokenizers[path]
 
-    The tokenizer this serves drops white space and never joins across it, so a text's ids are those
-    of its words in order; each distinct word is encoded once.
-    """
+
+def _tokenize(path: str, end_id: int, dtype: str):
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches):
-        tokenizer, known = _load(path)
+        coder = _load(path)
         pack = zstandard.ZstdCompressor(level=1)
+        size = max(coder.size, end_id + 1)
+        total = np.zeros(size, np.int64)
+        names = ["id", "body", "counts"]
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
+            texts = batch.column("text")
             for lo in range(0, len(batch), _GROUP):
-                words = [(t or b"").split() for t in texts.slice(lo, _GROUP).to_pylist()]
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                new = list(set().union(*words) - known.keys())
-                coded = [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)] if new else []
-                known.update(zip(new, coded, strict=True))
-                bodies = [b"".join(map(known.__getitem__, w)) + end for w in words]
-                for w in new:
-                    if len(w) > CACHED_BYTES:
-                        del known[w]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, _GROUP), pa.array([pack.compress(b) for b in bodies], pa.binary())], ["id", "body"])
+                ids, ends = coder.encode(texts.slice(lo, _GROUP), dtype)
+                total += np.bincount(ids, minlength=size)
+                total[end_id] += len(ends)
+                packed, cuts = ids.tobytes(), (ends * ids.itemsize).tolist()
+                bodies = [pack.compress(packed[i:j] + end) for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, _GROUP), pa.array(bodies, pa.binary()), pa.nulls(len(bodies), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     return run
 
 
-def _count(dtype: str):
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                seen = np.bincount(np.frombuffer(unpack.decompress(body), dtype), minlength=len(total))
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, len(seen) - len(total)))
-                total += seen
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["token", "n"])
-
-    return run
+def _count(batches):
+    """token, n of the counts that every partition of the tokenizing pass left."""
+    for batch in batches:
+        for body in batch.column("counts").to_pylist():
+            total = np.frombuffer(body, np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["token", "n"])
 
 
 def _open(path: str):
@@ -140,11 +219,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    size = max(_load(tokenizer)[0].get_vocab_size(with_added_tokens=True), end_id + 1)
+    size = max(_load(tokenizer).size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    coded = materialize(source.mapInArrow(_tokenize(tokenizer, end_id, dtype), "id long, body binary"), "ids")
-    counted = coded.mapInArrow(_count(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    made = materialize(source.mapInArrow(_tokenize(tokenizer, end_id, dtype), "id long, body binary, counts binary"), "ids")
+    counted = made.select("counts").filter("counts is not null").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    coded = made.select("id", "body").filter("body is not null")
     ranks = [r["token"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["token"]))]  # at most the vocabulary
     rank_of = np.zeros(size, np.uint32)
     rank_of[np.array(ranks, np.int64)] = np.arange(len(ranks), dtype=np.uint32)
