@@ -47,13 +47,15 @@ ALLOCATIONS = _whole("Vec::", r"\.clone\(", "alloc", r"clone\(", "malloc", r"to_
 IO_CALLS = _whole(r"execute\(", r"fetch\(", r"json\.loads", r"open\(", "read_to_string")
 
 _OPEN_CALL = r"(?U)(^|[^\w])open\(\b"
+_MUTABLE, _TYPED, _GENERICS = r"(?:mut\s+)?", r"(?::[^=\n]*)?", r"(?:<[^>\n]*>)?"
+_LIST_BEFORE, _LIST_AFTER = r"(?:[^{0}\n]*,)?\s*", r"\s*(?:[{1}][^{0}\n]*)?"
 #: Bindings of a local name ``open``: declarations, assignments, closure, function and arrow parameters.
 _OPEN_BOUND = "(?U)" + _either(
-    r"\b(?:const|let|var)\s+(?:mut\s+)?open\b",
-    r"(?m:^\s*open\s*(?::[^=\n]*)?=[^=])",
-    r"\|(?:[^|\n]*,)?\s*(?:mut\s+)?open\s*(?:[,:][^|\n]*)?\|",
-    r"\b(?:def|fn|function)\s*\w*\s*(?:<[^>\n]*>)?\s*\((?:[^)]*,)?\s*(?:mut\s+)?open\s*[),:=]",
-    r"\(\s*(?:[^()\n]*,\s*)?open\s*(?:,[^()\n]*)?\)\s*=>",
+    rf"\b(?:const|let|var)\s+{_MUTABLE}open\b",
+    rf"(?m:^\s*open\s*{_TYPED}=[^=])",
+    r"\|" + _LIST_BEFORE.format("|") + _MUTABLE + "open" + _LIST_AFTER.format("|", ",:") + r"\|",
+    rf"\b(?:def|fn|function)\s*\w*\s*{_GENERICS}\s*\(" + r"(?:[^)]*,)?\s*" + _MUTABLE + r"open\s*[),:=]",
+    r"\(\s*" + _LIST_BEFORE.format("()") + "open" + _LIST_AFTER.format("()", ",") + r"\)\s*=>",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.names import IDENTIFIER, contains_identifier
 from quarry.functions.tags import effects
+from quarry.sources.shared import materialize
 
 TYPE_KINDS = ("enum", "struct", "trait", "type", "union")
 USE_SITES, TESTS = 40, 20
@@ -22,15 +23,16 @@ def find_symbols(symbols: DataFrame, query: str) -> DataFrame:
 def reach(roots: DataFrame, edges: DataFrame, depth: int = 4) -> DataFrame:
     """relpath, ord, depth: symbols that resolved calls reach from the roots, with the least depth.
 
-    The joins of all levels form one plan; each level first drops what earlier levels have. Unresolved
-    calls lead nowhere.
+    Steps and levels are written to the shared folder, so that each is computed once; a level first drops
+    what earlier levels have. Unresolved calls lead nowhere.
     """
     steps = edges.filter("kind = 'call' and src_ord is not null and dst_ord is not null").select(F.col("src_relpath").alias("relpath"), F.col("src_ord").alias("ord"), "dst_relpath", "dst_ord").distinct()
-    level = roots.select("relpath", "ord").distinct().withColumn("depth", F.lit(0))
+    steps = materialize(steps, "steps")
+    level = materialize(roots.select("relpath", "ord").distinct().withColumn("depth", F.lit(0)), "level")
     seen = level
     for d in range(1, depth + 1):
         to = level.join(steps, ["relpath", "ord"]).select(F.col("dst_relpath").alias("relpath"), F.col("dst_ord").alias("ord")).distinct()
-        level = to.join(seen.select("relpath", "ord"), ["relpath", "ord"], "left_anti").withColumn("depth", F.lit(d))
+        level = materialize(to.join(seen.select("relpath", "ord"), ["relpath", "ord"], "left_anti").withColumn("depth", F.lit(d)), "level")
         seen = seen.unionByName(level)
     return seen
 
