@@ -16,7 +16,9 @@ SHINGLE = 5
 PERCENT = 85
 #: A pair at the threshold shares no band with probability (1 - 0.85**ROWS)**BANDS, under 1e-6.
 BANDS, ROWS = 44, 8
-_PIECE = 2 << 20
+_PIECE = 1 << 20
+#: Rows whose texts and sets a Python worker holds at a time.
+_SLICE = 512
 _SIGNATURE = "id long, n long, s1 long, s2 long, bands array<long>"
 
 
@@ -81,11 +83,11 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int):
     def sign(batches):
-        for batch in batches:
+        for batch in (b.slice(k, _SLICE) for b in batches for k in range(0, len(b), _SLICE)):
             ids = batch.column("id")
             for lo, sets in text_sets(batch.column("text")):
-                for at in range(0, len(sets), 512):
-                    part = sets[at : at + 512]
+                for at in range(0, len(sets), 256):
+                    part = sets[at : at + 256]
                     own = ids.slice(lo + at, len(part))
                     total = lambda salt: np.array([mix(u ^ np.uint64(salt)).sum() if len(u) else 0 for u in part], np.uint64).view(np.int64)  # noqa: B023, E731
                     n = np.array([len(u) for u in part], np.int64)
@@ -99,7 +101,7 @@ def _sign(bands: int, rows: int):
 
 def _verify(batches):
     """Intersection and union of the full shingle sets of each pair of texts."""
-    for batch in batches:
+    for batch in (b.slice(k, _SLICE) for b in batches for k in range(0, len(b), _SLICE)):
         sides = []
         for name in ("ta", "tb"):
             coded = batch.column(name).dictionary_encode()  # the centre of a star comes up many times
@@ -112,8 +114,8 @@ def _verify(batches):
 
 def _links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The exact sizes for pairs (a, b), written to the shared folder; texts has id and text."""
-    half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long, inter long, union long")
     return materialize(checked, name)
 
@@ -144,9 +146,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     linked = (100 * F.col("inter") >= percent * F.col("union")) & (F.col("union") > 0)
-    pairs = members.filter(near(F.col("n"), F.col("cn"))).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = classes.select(F.col("rep").alias("id"))
-    texts = source.join(wanted, "id", "left_semi")
+    pairs = materialize(members.filter(near(F.col("n"), F.col("cn"))).select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    # The texts of bucket members, written once: later rounds read those of open buckets only. Joins of
+    # texts are merge joins at every size; a broadcast that small tables allow would plan them otherwise.
+    wanted = members.select(F.col("center").alias("id")).unionByName(members.select("id")).distinct()
+    texts = materialize(source.join(wanted.hint("merge"), "id", "left_semi"), "texts")
     first = _links(pairs, texts, "links")
     edges = first.filter(linked).select("a", "b")
     labels = connected_components(edges)
@@ -162,6 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         now = materialize(now.join(split, "bucket", "left_semi"), "open")
         if not now.limit(1).count():
             break
+        if turn == 1:
+            texts = materialize(texts.join(now.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
         leader = now.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << min(turn - 1, 30))).alias("_sub")).agg(F.min("id").alias("_lead")).select("bucket", F.col("_lead").alias("id"))
         lead = now.join(leader, ["bucket", "id"], "left_semi").select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("far").alias("xfar"), F.col("component").alias("xc"))
         reach = 1 - percent / 100 + 1e-9
