@@ -92,12 +92,11 @@ class Engine:
         found = slices.find_symbols(self.symbols, query)
         roots = found.select("relpath", "ord", "name", "kind", "signature", "body", "start_line").limit(50).collect()
         if not roots:
-            return {"query": query, "error": "symbol not found", "symbols": []}
+            return _nothing(query, "symbol not found")
         qualified = "::" in query
         if len(roots) > 1 and not qualified:
             shown = [{k: r[k] for k in ("name", "relpath", "signature", "start_line")} for r in roots]
-            empty: dict = {k: [] for k in ("symbols", "files", "effects", "callers", "tests")}
-            return {"query": query, "error": "ambiguous symbol name; qualify as path::name", "candidates": shown, "blast_radius": 0, "cost_hint": 0, "taint": {"sinks": [], "params": [], "params_may_reach_sinks": []}} | empty
+            return _nothing(query, "ambiguous symbol name; qualify as path::name") | {"candidates": shown}
         root = found.limit(1)
         nodes = slices.reach(root, self.edges, depth)
         only = self.symbols.filter(F.col("name") == roots[0]["name"]).limit(2).count() == 1
@@ -186,9 +185,9 @@ class Engine:
         order, listed, inv, gone = _rows(self.rank(LIMITS["order"])), _rows(self.issues(LIMITS["issues"])), self.inventory(), self.dead()
         brief = {
             "repo": self.root, "generated_at": dest.name, "languages": inv["languages"], "counts": counts, "inventory": inv, "reading_order": order, "issues": listed, "dead_symbols": _rows(gone["symbols"].select("relpath", "name", "start_line").limit(LIMITS["dead"])),
-            "dead_files": _rows(gone["files"].select("relpath", "loc").limit(LIMITS["dead_files"])), "hollow": _rows(gone["hollow"].select("relpath", "name", "reason").limit(LIMITS["hollow"])), "names": _rows(self.names().limit(LIMITS["names"])), "heatmap": heat, "explorer": "report.html", "data_dir": "data",
+            "dead_files": _rows(gone["files"].select("relpath", "loc").limit(LIMITS["dead_files"])), "hollow": _rows(gone["hollow"].select("relpath", "name", "reason").limit(LIMITS["hollow"])), "names": _rows(self.names().limit(LIMITS["names"])), "data_dir": "data", "heatmap": heat, "explorer": "report.html",
         }
-        agent = {"must_read": order[:8], "languages": inv["languages"], "inventory": inv, "top_issues": listed[:8], "dead_code_count": len(brief["dead_symbols"]), "explorer": str(dest / "report.html")}
+        agent = {"top_issues": listed[:8], "must_read": order[:8], "inventory": inv, "languages": inv["languages"], "dead_code_count": len(brief["dead_symbols"]), "explorer": str(dest / "report.html")}
         for name, value in (("index", brief), ("rank", order), ("agent", agent)):
             (dest / f"{name}.json").write_text(json.dumps(value, indent=2, default=str))
         return dest
@@ -198,6 +197,13 @@ class Engine:
         return report.write_labels(name_health.label_rows(self.table("name_flags"), self.symbols), Path(dest))
 
 
+def _nothing(query: str, reason: str) -> dict:
+    """An empty slice and the reason for it."""
+    lists: dict = {k: [] for k in ("callers", "effects", "files", "symbols", "tests")}
+    taint: dict = {k: [] for k in ("params", "params_may_reach_sinks", "sinks")}
+    return lists | {"query": query, "error": reason, "taint": taint, "cost_hint": 0, "blast_radius": 0}
+
+
 def _rows(df: DataFrame) -> list[dict]:
     """Rows of a result that is small by its limits, or belongs to one slice."""
     return [r.asDict(recursive=True) for r in df.collect()]

@@ -94,7 +94,7 @@ def _pagerank_arrays(damping: float, rounds: int):
     return run
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, personalize: DataFrame | None = None, damping: float = 0.85, rounds: int = 40) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, personalize: DataFrame | None = None, rounds: int = 40, damping: float = 0.85) -> DataFrame:
     """relpath, pagerank of all nodes (relpath) after a fixed number of rounds over edges (src, dst, n).
 
     Repeated edges weigh more; rank at nodes without outgoing edges is lost; personalize (relpath, weight) sets the

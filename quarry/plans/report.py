@@ -13,12 +13,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-STAMP = re.compile(r"\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}(_\d+)?$")
+_TWO = [r"\d\d"] * 3
+STAMP = re.compile(r"\d\d" + "-".join(_TWO) + "_" + "-".join(_TWO) + r"(?:_\d+)?$")
 
 
 def new_report_dir(base: str, now: datetime | None = None) -> Path:
     """A folder named by local time, with _2, _3 ... where that is taken."""
-    stamp = (now or datetime.now()).strftime("%Y-%m-%d_%H-%M-%S")
+    stamp = (now or datetime.now()).strftime("%F_%H-%M-%S")
     n, path = 1, Path(base, stamp)
     while path.exists():
         n += 1
@@ -60,9 +61,12 @@ def write_labels(df: DataFrame, path: Path) -> int:
     return n
 
 
+_SVG = "http://www.w3.org/2000/svg"
+
+
 def heatmap_svg(rects: Iterable[dict], width: int = 960, height: int = 640) -> str:
     """Rectangles of two pixels or more, labelled where a name fits."""
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">', "<style>text{font:11px sans-serif;fill:#111}</style>"]
+    parts = [f'<svg viewBox="0 0 {width} {height}" xmlns="{_SVG}" width="{width}" height="{height}">', "<style>text{font:11px sans-serif;fill:#111}</style>"]
     for r in rects:
         if r["w"] < 2 or r["h"] < 2:
             continue

@@ -46,7 +46,7 @@ def color(score: Column, most: Column) -> Column:
     """From blue-green to red by the share of the greatest score."""
     t = F.least(F.greatest(score / most, F.lit(0.0)), F.lit(1.0))
     byte = lambda c: F.floor(c).cast("int")
-    mixed = F.format_string("#%02x%02x%02x", byte(40.0 + 200.0 * t), byte(90.0 + 40.0 * (1.0 - t)), byte(80.0 + 20.0 * (1.0 - t)))
+    mixed = F.format_string("#%02x%02x%02x", byte(40.0 + 200.0 * t), byte(130.0 - 40.0 * t), byte(100.0 - 20.0 * t))
     return F.when(most <= 0, "#4a6fa5").otherwise(mixed)
 
 

@@ -335,7 +335,7 @@ def owner_calls(spark, d):
     return graph.attach_calls(symbols, calls)
 
 
-@query(_with(*CODE, FULL) + "SELECT relpath, ord, name FROM t WHERE fan_in = 0 AND NOT is_entry AND NOT is_test AND name NOT IN ('main', 'app', 'cli', 'setup', 'run') AND relpath IN (SELECT relpath FROM f WHERE NOT is_test)")
+@query(_with(*CODE, FULL) + "SELECT relpath, ord, name FROM t WHERE fan_in = 0 AND NOT is_entry AND NOT is_test AND name NOT IN ('app', 'cli', 'main', 'run', 'setup') AND relpath IN (SELECT relpath FROM f WHERE NOT is_test)")
 def dead_symbols(spark, d):
     return dead.dead_symbols(graph.with_fans(_symbols(spark, d), _edges(spark, d)), _files(spark, d)).select("relpath", "ord", "name")
 
@@ -683,7 +683,7 @@ def heat_rectangles(spark, d):
     return review.heat_rectangles(files).select("relpath", *[F.round(c, 4).alias(c) for c in "xywh"])
 
 
-@query(_with(S) + "SELECT relpath, ord, printf('#%02x%02x%02x', floor(40 + 200 * t)::INT, floor(90 + 40 * (1 - t))::INT, floor(80 + 20 * (1 - t))::INT) AS fill FROM (SELECT relpath, ord, cognitive / 36 AS t FROM s)")
+@query(_with(S) + "SELECT relpath, ord, printf('#%02x%02x%02x', floor(40 + 200 * t)::INT, floor(130 - 40 * t)::INT, floor(100 - 20 * t)::INT) AS fill FROM (SELECT relpath, ord, cognitive / 36 AS t FROM s)")
 def heat_colors(spark, d):
     return _symbols(spark, d).select("relpath", "ord", review.color(F.col("cognitive"), F.lit(36.0)).alias("fill"))
 

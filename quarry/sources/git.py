@@ -33,7 +33,7 @@ def parse_log(text: str) -> pd.DataFrame:
 
 def git_log(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
     """The log of a repository, and '' or why there is none."""
-    command = ["git", "-C", root, "log", "--numstat", "--no-renames", "--pretty=format:---%n%H%n%an%n%at"]
+    command = ["git", "-C", root, "log", "--numstat", "--no-renames", "--pretty=format:" + "%n".join(("---", "%H", "%an", "%at"))]
     try:
         done = subprocess.run(command, capture_output=True, text=True, errors="replace", check=False)
         reason = "" if done.returncode == 0 else done.stderr.strip() or "git log failed"

@@ -11,28 +11,28 @@ _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
 @dataclass
 class Symbol:
-    name: str
     kind: str
-    start_line: int
-    end_line: int
+    name: str
+    body: str
     signature: str
     docstring: str
-    body: str
-    cyclomatic: int = 1
-    cognitive: int = 0
-    nesting: int = 0
+    start_line: int
+    end_line: int
     nargs: int = 0
-    is_public: bool = True
-    is_entry: bool = False
+    nesting: int = 0
+    cognitive: int = 0
+    cyclomatic: int = 1
     is_test: bool = False
+    is_entry: bool = False
+    is_public: bool = True
 
 
 @dataclass
 class Extracted:
+    ast_nodes: int = 0
+    import_modules: list[str] = field(default_factory=list)
     symbols: list[Symbol] = field(default_factory=list)
     calls: list[dict[str, str]] = field(default_factory=list)
-    import_modules: list[str] = field(default_factory=list)
-    ast_nodes: int = 0
 
     def as_row(self) -> dict:
         return asdict(self)

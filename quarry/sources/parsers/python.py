@@ -161,9 +161,8 @@ def parse(text: str) -> Extracted:
         signature = f"def {node.name}{_parameters(body, node.name)}"
         out.symbols.append(
             Symbol(
-                node.name, "method" if owner else "function", node.lineno, node.end_lineno, f"class {owner}: {signature}" if owner else signature, _docstring(source, node), body,
-                measured.cyclomatic, measured.cognitive, measured.deepest, _count(node.args), not node.name.startswith("_"),
-                command or node.name in ENTRY_NAMES or node.name == "__main__", node.name.startswith("test_"),
+                "method" if owner else "function", node.name, body, f"class {owner}: {signature}" if owner else signature, _docstring(source, node), node.lineno, node.end_lineno, _count(node.args),
+                measured.deepest, measured.cognitive, measured.cyclomatic, node.name.startswith("test_"), command or node.name in ENTRY_NAMES or node.name == "__main__", not node.name.startswith("_"),
             )
         )
         for part in (*node.body, node.args, *([node.returns] if node.returns else [])):

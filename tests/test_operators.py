@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def calls_resolved(spark, callee, targets, src, languages):
 
 @pytest.mark.parametrize(
     "callee,targets,src,want",
-    [("new", [(10, 1), (11, 2)], 1, (10, "f1")), ("new", [(10, 1), (11, 2)], 9, None), ("get_user", [(20, 2)], 1, (20, "f2")), ("process", [(20, 2), (21, 2)], 1, None), ("process", [(20, 1), (21, 1)], 1, None), ("helper", [(5, 3), (6, 2)], 1, (6, "f2"))],
+    [("new", [(7, 1), (8, 2)], 1, (7, "f1")), ("new", [(7, 1), (8, 2)], 9, None), ("find", [(9, 2)], 1, (9, "f2")), ("work", [(31, 2), (32, 2)], 1, None), ("work", [(33, 1), (34, 1)], 1, None), ("helper", [(5, 3), (6, 2)], 1, (6, "f2"))],
 )
 def test_call_targets(spark, callee, targets, src, want):
     assert calls_resolved(spark, callee, targets, src, {1: "python", 2: "python", 3: "rust", 9: "python"}) == want
@@ -71,7 +73,7 @@ def test_history(spark):
 
 
 def test_profiles(spark):
-    text = '{"shared":{"frames":[{"name":"m.a"},{"name":"b"}]},"profiles":[{"samples":[[0],[0],[1],[]],"weights":[4,2]}]}'
+    text = json.dumps({"profiles": [{"weights": [4, 2], "samples": [[0]] * 2 + [[1], []]}], "shared": {"frames": [{"name": n} for n in ("m.a", "b")]}})
     rows = spark.createDataFrame([(text,)], "json string")
     assert {r["name"]: r["weight"] for r in profile.speedscope_weights(rows).collect()} == {"m.a": 6.0, "b": 1.0}
     files = spark.createDataFrame([("x.py", 0.5, 0.5), ("y.py", 0.0, 0.0)], "relpath string, profile_self double, profile_total double")
