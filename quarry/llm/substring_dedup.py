@@ -32,7 +32,7 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 #: Sketch cells for each window of the input, in each of the two rows.
 CELLS_PER_WINDOW = 8
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _REQUEST = "block int, part int, n int, body binary"
 _REPLY = "block int, part int, n int, exact boolean, bits binary"
