@@ -81,17 +81,17 @@ def heatmap_svg(rects: Iterable[dict], width: int = 960, height: int = 640) -> s
 _PAGE = """<!doctype html><html lang=en><title>Code index</title><meta charset=utf-8><style>
 body{font:14px system-ui,sans-serif;margin:1.5rem;color:#222}nav button{margin-right:.4rem}table{border-collapse:collapse;margin-top:1rem}th{cursor:pointer;text-align:left}
 td,th{border-bottom:1px solid #ddd;padding:.25rem .6rem;vertical-align:top;max-width:40rem}input,select{margin-right:.5rem}</style>
-<h1>Code index</h1><nav id="tabs"></nav><p><input id="find" placeholder="Filter"><select id="lang"><option value="">All languages</option></select>
+<h1>Code index</h1><nav id="tabs"></nav><p><input id="find" placeholder="Filter"><select id="tongue"><option value>All languages</option></select>
 <select id="side"><option value="">All files</option><option value="no">Product</option><option value="yes">Tests</option></select><button id="prev">&lsaquo;</button> <span id="where"></span> <button id="next">&rsaquo;</button></p><table id="rows"></table>
 <script id="data" type="application/json">__DATA__</script><script>
 const tables=JSON.parse(document.getElementById('data').textContent),size=200;let tab=Object.keys(tables)[0],page=0,key=null,up=false;const $=id=>document.getElementById(id);
 for(const name of Object.keys(tables)){const b=document.createElement('button');b.textContent=name+' ('+tables[name].length+')';b.onclick=()=>{tab=name;page=0;key=null;draw()};$('tabs').append(b)}
-for(const l of new Set((tables.files||[]).map(f=>f.language))){const o=document.createElement('option');o.textContent=o.value=l;$('lang').append(o)}
-function draw(){const q=$('find').value.toLowerCase(),l=$('lang').value,s=$('side').value;let rows=tables[tab].filter(r=>(!q||Object.values(r).join(' ').toLowerCase().includes(q))&&(!l||!('language' in r)||r.language===l)&&(!s||!('is_test' in r)||r.is_test===(s==='yes')));
+for(const l of new Set((tables.files||[]).map(row=>row.language))){const o=document.createElement('option');o.textContent=o.value=l;$('tongue').append(o)}
+function draw(){const q=$('find').value.toLowerCase(),l=$('tongue').value,s=$('side').value;let rows=tables[tab].filter(r=>(!q||Object.values(r).join(' ').toLowerCase().includes(q))&&(!l||!('language' in r)||r.language===l)&&(!s||!('is_test' in r)||r.is_test===(s==='yes')));
 if(key)rows=[...rows].sort((a,b)=>(a[key]>b[key]?1:a[key]<b[key]?-1:0)*(up?1:-1));const last=Math.max(0,Math.ceil(rows.length/size)-1);page=Math.min(page,last);$('where').textContent=rows.length+' rows, page '+(page+1)+' of '+(last+1);
 const t=$('rows');t.replaceChildren();const shown=rows.slice(page*size,(page+1)*size);if(!shown.length)return;const head=t.insertRow();for(const k of Object.keys(shown[0])){const h=document.createElement('th');h.textContent=k;h.onclick=()=>{up=key===k?!up:false;key=k;draw()};head.append(h)}
 for(const r of shown){const row=t.insertRow();for(const v of Object.values(r))row.insertCell().textContent=Array.isArray(v)?v.join(', '):v}}
-for(const id of ['find','lang','side'])$(id).oninput=()=>{page=0;draw()};$('prev').onclick=()=>{page=Math.max(0,page-1);draw()};$('next').onclick=()=>{page++;draw()};draw()
+for(const id of ['find','tongue','side'])$(id).oninput=()=>{page=0;draw()};$('prev').onclick=()=>{page=Math.max(0,page-1);draw()};$('next').onclick=()=>{page++;draw()};draw()
 </script>
 """
 
