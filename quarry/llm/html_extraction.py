@@ -18,6 +18,7 @@ _RAW = frozenset("script style title textarea noscript iframe noembed noframes x
 #: Elements that never hold article text, whatever their density.
 _SKIPPED = frozenset("head script style title textarea noscript iframe noembed noframes template nav header footer aside form button select option input svg math canvas object embed applet video audio map dialog menu menuitem datalist fieldset label".split())
 _BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = _BLOCK | frozenset("nav header footer aside form fieldset menu dialog".split())
 _SAME = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _SCOPE = frozenset("ul ol dl table div article section main body aside nav form td th blockquote".split())
@@ -163,45 +164,72 @@ def _measure(root: _Node) -> list[_Node]:
 
 
 def _chosen(root: _Node) -> list[_Node]:
-    """Subtrees with the largest sum of child densities, in branches not thinner than the path to the best one."""
+    """The article's subtrees in page order: for each block no thinner than the thinnest on the path to the
+    best one, the subtree of it with the largest sum of child densities.
+
+    A block is as thick as that path by composite density or, as that grows with a block's size, by
+    characters a block (inline tags aren't counted) if it isn't mostly links. Where most of a block's text lies in no block below it, the
+    block itself is taken. A subtree in an <article> stands for all of it, one right below <main> for that,
+    and what lies between two chosen neighbours belongs to them unless it is mostly links.
+    """
     order = _measure(root)
     if not root.chars:
         return []
-    best = max(order, key=lambda n: n.total)
-    if best.total == 0:
-        return [root]
-    threshold, node = math.inf, best
-    while node is not None:
-        threshold, node = min(threshold, node.density) if node.density else threshold, node.parent
     at = {id(n): i for i, n in enumerate(order)}
     size = [1] * len(order)
+    blocks = [0] * len(order)
+    block = [n.tag not in _INLINE for n in order]
     peak = list(range(len(order)))
     for i in range(len(order) - 1, -1, -1):
-        for x in order[i].parts:
-            if isinstance(x, _Node) and not x.skipped:
-                j = at[id(x)]
-                size[i] += size[j]
-                if order[peak[j]].total > order[peak[i]].total:
+        node = order[i]
+        below = [at[id(x)] for x in node.parts if isinstance(x, _Node) and not x.skipped]
+        size[i] += sum(size[j] for j in below)
+        blocks[i] = sum(blocks[j] + block[j] for j in below)
+        block[i] = block[i] or any(block[j] for j in below)
+        own = node.chars - sum(order[j].chars for j in below if block[j])
+        if 2 * own < node.chars:
+            for j in below:
+                if block[j] and order[peak[j]].total > order[peak[i]].total:
                     peak[i] = peak[j]
-    marked: list[_Node] = []
-    i = 0
+    best = max((n for i, n in enumerate(order) if block[i]), key=lambda n: n.total)
+    if best.total == 0:
+        return [root]
+    plain = lambda n: n.chars / max(1, blocks[at[id(n)]])
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    composite = min((n.density for n in path if n.density), default=math.inf)
+    simple = min(plain(n) for n in path)
+    article: list[int | None] = []
+    for i, node in enumerate(order):
+        article.append(i if node.tag == "article" else article[at[id(node.parent)]] if node.parent is not None else None)
+
+    def whole(i: int) -> int:
+        node = order[i]
+        if article[i] is not None:
+            return article[i]
+        under = node.parent is not None and node.parent.tag == "main" and node.tag not in ("main", "body")
+        return at[id(node.parent)] if under else i
+
+    marked = {whole(at[id(best)])}
+    for i, node in enumerate(order):
+        if block[i] and (node.density >= composite or (2 * node.link_chars < node.chars and plain(node) >= simple)):
+            marked.add(whole(peak[i]))
+    for i, node in enumerate(order):
+        if i in marked:
+            continue
+        below = [at[id(x)] for x in node.parts if isinstance(x, _Node) and not x.skipped]
+        taken = [k for k, j in enumerate(below) if j in marked]
+        if taken:
+            marked.update(j for j in below[taken[0] : taken[-1]] if block[j] and order[j].chars and 2 * order[j].link_chars < order[j].chars)
+    found, i = [], 0
     while i < len(order):
-        if order[i].density >= threshold:
-            marked.append(order[peak[i]])
+        if i in marked:
+            found.append(order[i])
             i += size[i]
         else:
             i += 1
-    main = best
-    while main.parent is not None and main.tag not in ("article", "main", "body") and main.parent.tag in ("article", "main"):
-        main = main.parent
-    found = [n for n in dict.fromkeys([main, *marked]) if n is main or _inside(n, main)]
-    return [main] if main in found else found
-
-
-def _inside(node: _Node, top: _Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+    return found
 
 
 def main_text(page: str) -> str:

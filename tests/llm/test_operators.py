@@ -189,6 +189,33 @@ def test_main_text():
     assert main_text(page).split("\n") == want
 
 
+def split_article(rng, counts, wrap="{}", part="div"):
+    """Blocks of an article of several parts, and a page that holds it between a menu and a footer."""
+    parts = [[" ".join("word" + "x" * rng.randrange(8) for _ in range(rng.randrange(25, 40))) + "." for _ in range(n)] for n in counts]
+    inner = "".join(f"<{part}>" + "".join(f"<p>{p}</p>" for p in ps) + f"</{part}>" for ps in parts)
+    page = f'<body><div><a href="/a">Home</a> <a href="/b">About us</a></div>{wrap.format(inner)}<footer>end</footer></body>'
+    return [p for ps in parts for p in ps], page
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", '<div id="page"><div>{}</div></div>', "<article><div>{}</div></article>", "<main><div>{}</div></main>", "<div><span>{}</span></div>"])
+@pytest.mark.parametrize("counts", [(3, 3), (4, 2, 3), (2, 10, 2), (10, 1), (1, 10, 1)])
+def test_main_text_of_split_articles(wrap, counts):
+    want, page = split_article(random.Random(4), counts, wrap)
+    assert main_text(page).split("\n") == want
+
+
+def test_main_text_of_several_articles():
+    a, b = "First text with words. " * 12, "Second text, other words. " * 9
+    page = f"<body><div><article><h1>One</h1><p>{a}</p><p>{a}</p></article><div><a href='/'>next page</a></div><article><h2>Two</h2><p>{b}</p></article></div></body>"
+    assert main_text(page).split("\n") == ["One", a.strip(), a.strip(), "Two", b.strip()]
+
+
+def test_main_text_keeps_blocks_whole_and_in_order():
+    t = "Some words that make a line of text. " * 5
+    page = f"<body><div><p>{t}</p><p>{t}</p><p>{t}</p></div><div>Lead <span>with <b>bold words</b> and <i>more</i></span> tail. {t}</div></body>"
+    assert main_text(page).split("\n") == [t.strip()] * 3 + [f"Lead with bold words and more tail. {t}".strip()]
+
+
 @given(st.text(alphabet="<>/ab p=\"'!-&;", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_main_text_survives_anything(page):
