@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import let
+
 SEED = "mix-1"
-#: The largest mean repetition; exp(-mean) must stay a normal double.
+#: The largest mean of one draw; exp(-mean) must stay a normal double. Larger rates are drawn in parts.
 MAX_RATE = 64.0
 
 
@@ -34,19 +36,21 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None, size: float,
     weighed = counts.withColumn("_weight", weight)
     total = weighed.agg(F.sum("_weight").alias("_all"), F.sum("n").alias("_rows"))
     rate = F.col("_weight") / F.col("_all") * F.col("_rows") * float(size) / F.col("n")
-    return weighed.crossJoin(F.broadcast(total)).select(source, "n", F.least(F.lit(MAX_RATE), rate).alias("rate"))  # total is one row
+    return weighed.crossJoin(F.broadcast(total)).select(source, "n", rate.alias("rate"))  # total is one row
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: str = SEED, source: str = "source", id_col: str = "doc_id", tell: bool = False) -> DataFrame:
     """Rows repeated so that sources reach their target shares in expectation, in a global random order.
 
     Each row draws its count by inverting the Poisson distribution of its source's rate at a number
-    hashed from seed, id and text: the same on every run and retry. Rows of count 0 leave. Equal rows
+    hashed from seed, id and text: the same on every run and retry. A rate over MAX_RATE is the sum of
+    independent draws of equal parts, whose numbers are hashed from the first. Rows of count 0 leave. Equal rows
     draw alike; null ids, texts and sources are values. Output partitions are random by hash, and each
     is sorted by the hash. An empty table gives an empty one. With tell, copy (int, from 0), n_copies and
     mix_key are added; the input columns alone return otherwise.
     """
     rates = target_rates(docs, weights, size, source).select(F.col(source).alias("_source"), F.col("rate").alias("_rate"))
+    rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / MAX_RATE)).cast("int")).withColumn("_rate", F.col("_rate") / F.col("_parts"))
     # P(X <= k) for k = 0.. until it rounds to 1, once per source and not per row
     steps = int(MAX_RATE + 12 * math.sqrt(MAX_RATE) + 20)
     cdf = F.expr(
@@ -56,7 +60,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     rates = rates.withColumn("_cdf", F.filter(cdf, lambda c: c < 1.0 - 1e-15)).drop("_rate")
     joined = docs.join(rates, docs[source].eqNullSafe(rates["_source"]), "inner").drop("_source")
     unit = hash_unit(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(_text(docs)), F.lit(""))) if _text(docs) else F.lit(""))
-    drawn = joined.withColumn("_u", unit).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).drop("_cdf")
+
+    def count(u: Column) -> Column:
+        return F.size(F.filter("_cdf", lambda c: c <= u))
+
+    def summed(u: Column) -> Column:
+        first = (u * float(1 << 52)).cast("long")
+        others = F.transform(F.sequence(F.lit(2), F.col("_parts")), lambda k: hash_unit(F.lit(seed), first, k))
+        return F.aggregate(others, count(u), lambda n, v: n + count(v))
+
+    draws = F.when(F.col("_parts") == 1, count(F.col("_u"))).otherwise(let(F.col("_u"), summed))
+    drawn = joined.withColumn("_u", unit).withColumn("_n", draws).drop("_cdf", "_parts")
     copies = drawn.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     copies = copies.withColumn("_key", F.xxhash64(F.lit(seed), "_u", "_copy"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -381,6 +381,22 @@ def test_mixing_reaches_its_shares(spark):
     assert abs(got["rare"] - 10_000) < 600 and abs(got["common"] - 10_000) < 500
 
 
+def test_mixing_reaches_shares_of_rare_sources(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.when(F.col("id") % 200 == 0, "rare").when(F.col("id") == 1, None).otherwise("common").alias("source"))
+    weights = {"rare": 1.0, "common": 1.0}
+    rates = {r["source"]: r["rate"] for r in target_rates(docs, {**weights}, 1.0, "source").collect()}
+    assert rates["rare"] == pytest.approx(60_000 / 3 / 300) and rates[None] == pytest.approx(20_000)
+    rows = mix(docs, weights, tell=True).select("doc_id", "source", "copy", "n_copies").collect()
+    got = Counter(r["source"] for r in rows)
+    assert all(abs(got[s] - 20_000) < 800 for s in ("rare", "common", None))
+    counts = Counter(r["doc_id"] for r in rows if r["source"] == "rare")
+    assert all(r["n_copies"] == counts[r["doc_id"]] for r in rows if r["source"] == "rare")
+    n = [counts[i] for i in range(0, 60_000, 200)]
+    mean = sum(n) / 300  # Poisson: the variance is the mean
+    assert 0.7 < sum((x - mean) ** 2 for x in n) / 299 / mean < 1.4
+    assert sorted(r["copy"] for r in rows if r["doc_id"] == 1) == list(range(got[None]))
+
+
 # --- 10 ---
 
 
