@@ -342,8 +342,7 @@ def dead_symbols(spark, d):
 
 @query(_with(*CODE) + "SELECT relpath, loc FROM f WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst_relpath = f.relpath AND ord_even = 0) AND NOT EXISTS (SELECT 1 FROM s WHERE s.is_entry AND s.relpath = f.relpath)".replace("ord_even = 0", "src_ord % 3 = 0"))
 def dead_files(spark, d):
-    # calls of a third of the symbols: over all of them, every file is reached
-    return dead.dead_files(_files(spark, d), _symbols(spark, d), _edges(spark, d).filter("src_ord % 3 = 0")).select("relpath", "loc")
+    return dead.dead_files(_files(spark, d), _symbols(spark, d), _edges(spark, d)).select("relpath", "loc")
 
 
 _NATIONS = """nat AS MATERIALIZED (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
