@@ -22,19 +22,23 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _CLOSES_P = _BLOCK | frozenset("nav header footer aside form fieldset menu dialog".split())
 _SAME = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _SCOPE = frozenset("ul ol dl table div article section main body aside nav form td th blockquote".split())
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|widget|menu|nav\w*|breadcrumbs?|foot(?:er)?|site-?header|page-?header|masthead|head(?:er)|comments?|comment-?list|disqus|replies|respond"
-    r"|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|tags?|skip|hidden|copyright|legal|disclaimer|paywall)(?:$|[\s_-])",
-    re.I,
+_NAME = (
+    r"(?:ads?|adverts?|advertis(?:ement|ing)s?|adsense|sponsor(?:s|ed|ship)?|promo(?:s|tions?|ted)?|banners?|side-?bar|widgets?|menu|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|masthead|head(?:er)?|comments?|disqus|replies|respond"
+    r"|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|newsletter|subscri(?:be|ptions?)|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|toolbar|pagination|pager|tags?|skip|hidden|copyright|legal|disclaimer|paywall)"
 )
+_BESIDE = r"(?:site|page|main|top|bottom|left|right|global|primary|secondary|mobile|box|bar|list|links|posts|articles|stories|block|wrapper|container|area|section|\d+)"
+#: Whole names of menus, adverts, notices and comments, alone or with words of place and form.
+_BOILERPLATE = re.compile(rf"(?:{_BESIDE}[_-])*{_NAME}(?:[_-](?:{_NAME}|{_BESIDE}))*", re.I)
+#: Elements that a name can cut; text-level ones, headings and paragraphs stay with what is around them.
+_NAMED = frozenset("div section ul ol li dl table td details figure center".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: _Node | None, skipped: bool):
-        self.tag, self.parent, self.parts, self.skipped = tag, parent, [], skipped
+    def __init__(self, tag: str, parent: _Node | None, skipped: bool, named: bool = False):
+        self.tag, self.parent, self.parts, self.skipped, self.named = tag, parent, [], skipped, named
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -67,17 +71,53 @@ def _boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _BOILERPLATE.search(value):
-            return True
         if name == "itemprop" and value.lower() == "comment":
             return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a class or the id of a container is a boilerplate name as a whole."""
+    if not attributes or tag not in _NAMED:
+        return False
+    return any(_BOILERPLATE.fullmatch(v) for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in (a or b or c).split())
+
+
+def _skip_named(root: _Node) -> None:
+    """Skips subtrees of boilerplate names, but none that holds most of the page's text outside links.
+
+    If nothing would be left, names don't count at all.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        node.chars = 0 if linked else sum(len(_SPACE.sub("", _html.unescape(x))) for x in node.parts if isinstance(x, str))
+        order.append(node)
+        stack.extend((x, linked) for x in node.parts if isinstance(x, _Node) and not x.skipped)
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+    cut = [n for n in order if n.named and 2 * n.chars <= root.chars]
+    inside, rest = {id(n) for n in cut}, root.chars
+    within: set[int] = set()
+    for node in order:  # parents come before their children
+        if node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        elif id(node) in inside:
+            within.add(id(node))
+            rest -= node.chars
+    if rest or not root.chars:
+        for node in cut:
+            node.skipped = True
+    for node in order:
+        node.chars = 0
+
+
 def parse(page: str) -> _Node:
     """A tree of the page. Unclosed elements end with their parents, new paragraphs and items close old ones."""
     root = _Node("html", None, False)
-    at, here = 0, root
+    at, here, any_named = 0, root, False
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
@@ -120,7 +160,8 @@ def parse(page: str) -> _Node:
                 while node.parent is not None and node.parent.tag in _SAME[tag]:
                     node = node.parent
                 here = node.parent
-        node = _Node(tag, here, here.skipped or _boilerplate(tag, attributes))
+        node = _Node(tag, here, here.skipped or _boilerplate(tag, attributes), _named(tag, attributes))
+        any_named = any_named or node.named
         here.parts.append(node)
         if tag in _RAW:
             close = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
@@ -130,6 +171,8 @@ def parse(page: str) -> _Node:
                 at = _tag_end(page, close.start()) + 1 if close else len(page)
         elif tag not in _VOID and not attributes.endswith("/"):
             here = node
+    if any_named:
+        _skip_named(root)
     return root
 
 

@@ -216,6 +216,20 @@ def test_main_text_keeps_blocks_whole_and_in_order():
     assert main_text(page).split("\n") == [t.strip()] * 3 + [f"Lead with bold words and more tail. {t}".strip()]
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div id="page" class="no-comments"', 'section class="legal"', 'div class="related-work"', 'div class="post with-banner share-enabled"', "div class=tags"])
+@pytest.mark.parametrize("advert", ["ad", "cookie-notice", "top_banner", "x sidebar", "related-posts"])
+def test_main_text_in_wrappers_with_boilerplate_names(wrapper, advert):
+    t = "Some words that make a line of text. " * 5
+    page = f'<body><div class="{advert}"><p>Buy this thing, and buy it now, in all our shops.</p></div><{wrapper}><p>{t}</p><p class="notice">{t}</p><p>A <span class="tag">marked</span> word. {t}</p></{wrapper.split()[0]}><footer>end</footer></body>'
+    assert main_text(page).split("\n") == [t.strip(), t.strip(), f"A marked word. {t}".strip()]
+
+
+def test_main_text_is_not_emptied_by_names():
+    t = "Some words that make a line of text. " * 5
+    page = "<body>" + f'<section class="legal"><p>{t}</p></section>' * 3 + "</body>"
+    assert main_text(page).split("\n") == [t.strip()] * 3
+
+
 @given(st.text(alphabet="<>/ab p=\"'!-&;", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_main_text_survives_anything(page):
