@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Bounds of the labelled sample: texts of a language, and bytes taken from each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 160, 700
+#: Those of a longer text are so many pieces over its whole length.
+SAMPLE_PIECES = 7
 #: A prediction is rejected if the next language needs less than this share of bytes more.
 MARGIN = 0.01
 LEVEL = 3
@@ -26,8 +28,21 @@ def letters(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode()
 
 
+def _spread(text: Column, h: Column) -> Column:
+    """SAMPLE_BYTES characters of a text in pieces at places hashed from h, one in each stretch of the whole text, none twice."""
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    rest = F.char_length(text) - SAMPLE_BYTES
+
+    def piece(k: Column) -> Column:
+        unit = F.pmod(F.xxhash64(h, k), F.lit(1 << 20)) / float(1 << 20)
+        return F.substring(text, (k * size + F.floor(rest * ((k + unit) / SAMPLE_PIECES)) + 1).cast("int"), F.lit(size))
+
+    return F.when(rest <= 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), piece), " "))
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """One raw dictionary a language, from at most SAMPLE_TEXTS texts: the least hash of each hash bucket.
+    """One raw dictionary a language, from at most SAMPLE_TEXTS texts: the least hash of each hash bucket,
+    and of a text longer than SAMPLE_BYTES characters pieces from all over it.
 
     Aggregation finds the sample, so no language's rows meet in a task; the sample (bounded by languages
     times SAMPLE_TEXTS * SAMPLE_BYTES) is all that reaches the driver. Null languages or texts teach nothing.
@@ -36,7 +51,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     picked = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("bucket")).agg(F.min("h").alias("h")).drop("bucket")
     # languages x SAMPLE_TEXTS rows are broadcast; copies of a key give one text
-    sample = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("t"))
+    sample = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min(_spread(F.col("text"), F.col("h"))).alias("t"))
     found: dict[str, list[tuple[int, bytes]]] = {}
     for r in sample.collect():
         found.setdefault(r["lang"], []).append((r["h"], letters(r["t"])))

@@ -175,6 +175,20 @@ def test_language_id_edges(spark, none):
     assert identify(none, made).count() == 0
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    banner = "this work is licensed under the terms of the licence that comes with it " * 12
+    rng = random.Random(7)
+    german = ["der", "hund", "und", "die", "katze", "schlafen", "unter", "einem", "baum", "neben", "dem", "haus"]
+    texts = {i: " ".join(rng.choice(german) for _ in range(300 + 40 * i)) for i in range(12)}
+    rows = [(i, banner + t, "de") for i, t in texts.items()] + [(100 + i, banner * 2, "en") for i in range(12)]
+    made = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert made["de"].count(b"katze") > 12 and len(made["de"]) <= 12 * 706
+    out = identify(spark.createDataFrame([(1, texts[3])], "doc_id long, text string"), made).first()
+    assert out["lang_pred"] == "de" and not out["rejected"]
+    short = train(spark.createDataFrame([(1, "wort " * 140, "de")], "doc_id long, text string, lang string"))
+    assert short == {"de": b" ".join([b"wort"] * 140)}
+
+
 # --- 5 ---
 
 
