@@ -20,6 +20,30 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
 
 
+class Renamed:
+    """A table whose columns are c0, c1, ...: an operator's own columns, which begin with '_', can't clash with the caller's.
+
+    Renaming goes by place, so columns whose names differ in case only, or not at all, all survive.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def has(self, name: str) -> bool:
+        return name.lower() in (n.lower() for n in self.names)
+
+    def name(self, name: str) -> str:
+        """The new name of a column, found by its exact name first."""
+        lowered = [n.lower() for n in self.names]
+        return f"c{self.names.index(name) if name in self.names else lowered.index(name.lower())}"
+
+    def restored(self, but: tuple[str, ...] = ()) -> list[Column]:
+        """The caller's columns under their names, in order, without those that the operator replaces."""
+        gone = {n.lower() for n in but}
+        return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in gone]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 

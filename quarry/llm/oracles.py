@@ -63,13 +63,17 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_rules()}) AS kept FROM b
 """
 
+# A rate over 64 is the sum of ceil(rate / 64) draws of equal parts, each at a hashed number of its own.
 OP9 = """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-r AS (SELECT source, least(64.0, sqrt(n) / (SELECT sum(sqrt(n)) FROM c) * (SELECT sum(n) FROM c) / n) AS rate FROM c),
+r0 AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM c) * (SELECT sum(n) FROM c) / n AS whole FROM c),
+r AS (SELECT source, greatest(1, ceil(whole / 64))::BIGINT AS parts, whole / greatest(1, ceil(whole / 64)) AS rate FROM r0),
 p AS (SELECT source, rate, unnest(range(0, 181)) AS k FROM r),
 cdf AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM p),
-u AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
-  ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
+  ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS first FROM documents),
+parts AS (SELECT d.*, unnest(range(1, r.parts + 1)) AS part FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source),
+u AS (SELECT doc_id, source, text_md5, (CASE WHEN part = 1 THEN first ELSE ('0x' || substr(md5('mix-1:' || first || ':' || part), 1, 13))::BIGINT END) / 4503599627370496.0 AS u FROM parts),
 n AS (SELECT u.doc_id, u.source, u.text_md5, count(k) AS n FROM u LEFT JOIN cdf ON cdf.source IS NOT DISTINCT FROM u.source AND f <= u.u AND f < 1 - 1e-15 GROUP BY ALL)
 SELECT doc_id, source, text_md5, unnest(range(0, n))::INT AS copy, n::INT AS n_copies FROM n
 """

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import _bytes, near_dedup, sharding
+from quarry.llm import _bytes, mixing, near_dedup, sharding
 from quarry.llm._kernel import hash_windows, hash_words, split_words, text_buffer, window_starts
 from quarry.llm.decontamination import decontaminate, find_contained
 from quarry.llm.html_extraction import extract_pages, main_text
@@ -372,7 +372,7 @@ def test_quality_rules(spark, docs, corpus, none):
 # --- 9 ---
 
 
-def test_mixing(spark, docs, corpus, none):
+def test_mixing(spark, docs, corpus, none, monkeypatch):
     weights = {"src0": 1.0, "src1": 3.0}
     table = docs.withColumns({"copy": F.lit("mine"), "_u": F.lit(0)}).unionByName(spark.createDataFrame([(None, None, None, None, None, "mine", 0)], "doc_id long, text string, lang string, source string, n_chars long, copy string, _u int"))
     rates = {r["source"]: r["rate"] for r in target_rates(table, weights, 1.0, "source").collect()}
@@ -400,9 +400,22 @@ def test_mixing(spark, docs, corpus, none):
         if n := drawn(r[0], r[3], r[1]):
             want[r[0], r[3]] += n
     assert out == want
+    clash = {n: F.lit(f"{n} of mine") for n in ("_n", "_u", "_key", "_copy", "_cdf", "_source", "_rate", "_parts", "_rows", "n", "rate", "Copy", "c0", "c1")}
+    same = mix(docs.withColumns(clash), weights).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in same) == want and all(r[n] == f"{n} of mine" for r in same for n in clash)
+    told = mix(docs.withColumn("copy", F.lit("mine")), weights, tell=True)
+    assert told.columns == [*docs.columns, "copy", "n_copies", "mix_key"] and {r["copy"] for r in told.collect()} >= {0}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)  # as with more sources than may be broadcast
+    assert Counter((r["doc_id"], r["source"]) for r in mix(docs, weights).collect()) == want
     assert mix(none).count() == 0 and mix(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("source"))).columns == ["doc_id", "source"]
 
 
+def test_mixing_moves_texts_once(docs):
+    plan = mix(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
 def test_mixing_reaches_its_shares(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"))
     got = {r["source"]: r["count"] for r in mix(docs, {"rare": 1.0, "common": 1.0}).groupBy("source").count().collect()}
