@@ -44,6 +44,13 @@ class Renamed:
         return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in gone]
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns of a row. Nulls count by their place; maps and the like as JSON."""
+    plain = [c if f.dataType.typeName() not in ("map", "struct", "array", "variant") else F.to_json(F.struct(c)) for c, f in zip(df.columns, df.schema, strict=True)]
+    nulls = F.concat(F.lit("n"), *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    return [F.xxhash64(nulls, *plain), F.xxhash64(F.lit("again"), nulls, *plain)]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 

@@ -327,18 +327,63 @@ def test_hypergeometric_draws():
 @pytest.mark.parametrize("rank_rows", [200_000, 4])
 def test_sharding(spark, docs, corpus, none, monkeypatch, rank_rows):
     monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
-    table = docs.unionAll(docs.limit(5)).unionAll(spark.createDataFrame([(None, None, None, None, None)] * 9, docs.schema)).withColumn("slot", F.lit(-1))
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 29, docs.schema)
+    table = docs.unionAll(docs.limit(5)).unionAll(nulls).withColumn("slot", F.lit(-1))
+    mine = ("_h", "_g", "_part", "_id", "_rank", "_local", "_final", "_bin", "_row", "_n", "_parts", "_shard", "_before", "Shard", "c0")
     n = table.count()
-    out = sharding.shard(table, 7).collect()
+    out = sharding.shard(table.withColumns({c: F.lit(c) for c in mine}), 7)
+    assert [c for c in out.columns if c.lower() not in ("shard", "slot")] == [*docs.columns, *[c for c in mine if c != "Shard"]]
+    out = out.collect()
     sizes = Counter(r["shard"] for r in out)
     assert len(out) == n and len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
     for s, k in sizes.items():
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(k))
-    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in table.collect())
-    assert sorted(map(str, out)) == sorted(map(str, sharding.shard(table, 7).collect()))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out) == Counter((r["doc_id"], r["text"], r["source"]) for r in table.collect())
+    assert all(r[c] == c for r in out for c in mine if c != "Shard")
     assert sharding.shard(none, 7).count() == 0
 
 
+@pytest.mark.parametrize("rank_rows", [200_000, 40, 4])
+def test_sharding_depends_on_rows_alone(spark, docs, monkeypatch, rank_rows, tmp_path):
+    monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
+    table = docs.unionAll(docs.limit(5)).unionAll(spark.createDataFrame([(1, "t", None, None, None), (1, "t", None, "", None)] * 20, docs.schema))
+    found = []
+    for files in (1, 16):
+        table.orderBy(F.rand(files)).repartition(files).write.parquet(f"{tmp_path}/{files}")
+        found.append(sorted(map(str, sharding.shard(spark.read.parquet(f"{tmp_path}/{files}"), 7).collect())))
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("rank_rows", [200_000, 10])
+def test_sharding_against_a_deal_by_hand(spark, monkeypatch, rank_rows):
+    """Recomputes the deal: the matrix says how many, local and final hashes say which."""
+    monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
+    docs = spark.range(150).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    own = docs.toDF("c0", "c1")
+    h, g = sharding.row_hashes(own)
+    parts = max(sharding.PARTITIONS, -(-150 // rank_rows))
+    rows = [tuple(r) for r in own.select("c0", h.alias("h"), g.alias("g"), F.pmod(F.xxhash64(F.lit(7), h), F.lit(parts)).cast("int").alias("p")).collect()]
+    members = defaultdict(list)
+    for i, a, b, p in rows:
+        members[p].append((a, b, i))
+    matrix = sharding.communication_matrix([len(members[p]) for p in range(parts)], 5, 7)
+
+    def hashes(kind, pairs):
+        table = spark.createDataFrame(pairs, "p int, k long")
+        return {(r["p"], r["k"]): r["x"] for r in table.select("p", "k", F.xxhash64(F.lit(f"7:{kind}"), "p", "k").alias("x")).collect()}
+
+    pairs = [(p, k) for p in members for k in range(len(members[p]))]
+    local, final = hashes("local", pairs), hashes("final", pairs)
+    dealt = defaultdict(list)
+    for p, own_rows in members.items():
+        order = sorted(range(len(own_rows)), key=lambda k: (local[p, k], k))
+        for rank, k in enumerate(order):
+            s = int(np.searchsorted(np.cumsum(matrix[p]), rank, "right"))
+            dealt[s].append((final[p, rank], sorted(own_rows)[k][2]))
+    want = {(i, s, slot) for s, got in dealt.items() for slot, (_, i) in enumerate(sorted(got))}
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(docs, 5).collect()} == want
+
+
 def test_sharding_is_uniform(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     near = [sum(a == b for a, b in zip(s, s[1:], strict=False)) for s in ([r["shard"] for r in sorted(sharding.shard(docs, 4, seed=k).collect(), key=lambda r: r["doc_id"])] for k in range(6))]
