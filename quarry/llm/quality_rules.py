@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._spark import word_array
+from quarry.functions.names import let
+from quarry.llm._spark import Renamed, word_array
 
 STOP_WORDS = tuple(
     w
@@ -22,24 +23,34 @@ STOP_WORDS = tuple(
 )
 
 
+#: The languages whose words are in STOP_WORDS.
+STOP_LANGUAGES = ("en", "fr", "de", "es")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A bound on a ratio of two measures: rejected if numerator < low * denominator or > high * denominator."""
+    """A bound on a ratio of two measures: rejected if numerator < low * denominator or > high * denominator.
+
+    A rule for some languages leaves texts alone whose language is known to be another one.
+    """
 
     name: str
     numerator: str
     denominator: str
     low: float | None = None
     high: float | None = None
+    languages: tuple[str, ...] | None = None
 
-    def broken(self) -> Column:
+    def broken(self, measures: Column, language: Column) -> Column:
         """True where the ratio lies outside; a zero denominator breaks no rule. Products, so nothing is divided."""
-        n, d = F.col(self.numerator), F.col(self.denominator)
+        n, d = measures[self.numerator], measures[self.denominator]
         bad = F.lit(False)
         if self.low is not None:
             bad = bad | (n < self.low * d)
         if self.high is not None:
             bad = bad | (n > self.high * d)
+        if self.languages is not None:
+            bad = bad & F.coalesce(language.isin(*self.languages), F.lit(True))
         return bad & (d > 0)
 
 
@@ -47,58 +58,79 @@ class Rule:
 RULES: tuple[Rule, ...] = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, languages=STOP_LANGUAGES),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
 )
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures of every whole text; columns of the same names are replaced.
+def measures(text: Column) -> Column:
+    """A struct of the measures of a whole text, all long.
 
     n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words,
-    n_stop_words, all long. Null or blank texts have 0 everywhere (symbols of a text always lie in words).
+    n_stop_words. Null or blank texts have 0 everywhere (symbols of a text always lie in words).
 
     A 3-word window's position is sorted next to its equals as (hash, position) structs, so texts of
     any length cost n log n; covered words are the gaps between flagged positions, 3 at most each.
+    Words, lines and windows are bound once each, wherever the optimizer moves the expression.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(text, F.lit(""))
     stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns({"_w": word_array(F.col(text)), "_l": lines})
-    out = out.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(stop))).cast("long"),
-            # three uses of _w keep the optimizer from splitting the text again for each window
-            "_s": F.expr("""CASE WHEN size(_w) < 4 THEN NULL ELSE sort_array(transform(sequence(0, size(_w) - 3),
-                i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) AS h, i AS p))) END"""),
+
+    def windows(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+        return F.when(F.size(w) < 4, None).otherwise(F.sort_array(made))
+
+    def repeated(s: Column) -> Column:
+        hash_at = lambda k: F.get(s, k)["h"]
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: x["h"].eqNullSafe(hash_at(k - 1)) | x["h"].eqNullSafe(hash_at(k + 1))), lambda x: x["p"]))
+
+    def covered(p: Column) -> Column:
+        gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), x + 3) - x))
+        return F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0))
+
+    def of(w: Column, lines: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.char_length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": let(let(windows(w), repeated), covered),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(stop))),
         }
-    )
-    out = out.withColumn(
-        "_p",
-        F.expr("sort_array(transform(filter(_s, (x, k) -> x.h <=> get(_s, k - 1).h OR x.h <=> get(_s, k + 1).h), x -> x.p))"),
-    )
-    covered = "aggregate(transform(_p, (p, k) -> least(3, coalesce(get(_p, k + 1), p + 3) - p)), 0, (a, x) -> a + x)"
-    return out.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0)).cast("long")).drop("_w", "_l", "_s", "_p")
+        return F.struct(*[found[n].cast("long").alias(n) for n in MEASURES])
+
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return let(word_array(text), lambda w: let(lines, lambda x: of(w, x)))
+
+
+def base_failed(measures: Column) -> Column:
+    return (measures["n_words"] < 50) | (100 * measures["n_repeat_words"] > 50 * measures["n_words"])
+
+
+def verdict(text: Column, language: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """A struct of measures, base_failed, broken_rules (names) and kept."""
 
+    def judged(m: Column) -> Column:
+        names = F.filter(F.array(*[F.when(r.broken(m, language), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        kept = ~base_failed(m) & (F.size(names) == 0)
+        return F.struct(m.alias("measures"), base_failed(m).alias("base_failed"), names.alias("broken_rules"), kept.alias("kept"))
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return let(measures(text), judged)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, lang: str = "lang") -> DataFrame:
     """Adds the measures, base_failed, broken_rules (names) and kept to every row; no row is dropped.
 
     Base: fewer than 50 words, or over half of the words in repeated 3-word windows. kept is false for
-    those and for any broken rule. Null and empty texts fail the base; repeated rows are judged alike;
-    an empty table gives an empty one. Other columns pass unchanged unless named like a measure.
+    those and for any broken rule. The stop-word rule knows English, French, German and Spanish; rows whose
+    ``lang`` names another language pass it, rows of a null one, or of a table without the column, don't. Null
+    and empty texts fail the base; very long ones are judged whole; repeated rows are judged alike; an empty
+    table gives an empty one. Columns named like an added one are replaced, all others pass unchanged.
     """
-    names = F.filter(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    out = measures(docs, text).withColumns({"base_failed": base_failed(), "broken_rules": names})
-    # Not deterministic on paper: a filter on kept then stays above. Pushed below, it would inline the word
-    # array into the lambdas, which split the text again for each word.
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0) & (F.spark_partition_id() >= 0))
+    own = Renamed(docs)
+    language = F.col(own.name(lang)) if own.has(lang) else F.lit(None).cast("string")
+    judged = own.df.withColumn("_v", verdict(F.col(own.name(text)), language, rules))
+    added = {n: F.col("_v")["measures"][n] for n in MEASURES} | {n: F.col("_v")[n] for n in ("base_failed", "broken_rules", "kept")}
+    return judged.select(*own.restored(tuple(added)), *[c.alias(n) for n, c in added.items()])

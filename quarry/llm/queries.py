@@ -53,7 +53,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_rules
 
-    rows = quality_rules(documents(spark, sf_dir, "doc_id", "text"))
+    rows = quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

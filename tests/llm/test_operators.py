@@ -406,7 +406,14 @@ def test_quality_rules(spark, docs, corpus, none):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (r["base_failed"] and r["kept"])
     assert out.filter("kept").count() == sum(r["kept"] for r in rows)
+    mine = {n: F.lit(f"{n} of mine") for n in ("_w", "_l", "_s", "_p", "_v", "c0", "c1", "measures")}
+    again = quality_rules(docs.withColumns(mine))
+    assert Counter((r["doc_id"], r["kept"], r["n_words"]) for r in again.collect()) == Counter((r["doc_id"], r["kept"], r["n_words"]) for r in rows)
+    assert all(r[n] == f"{n} of mine" for r in again.collect() for n in mine)
     assert quality_rules(none).count() == 0
+    foreign = " ".join(f"szczegolny{i} wyraz{i}" for i in range(40))
+    told = quality_rules(spark.createDataFrame([(1, foreign, "pl"), (2, foreign, "en"), (3, foreign, None)], "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: r["kept"] for r in told.collect()} == {1: True, 2: False, 3: False}
     clean = "It is the work of a man and that of the town with which we are on good terms, as said. " * 4
     junk = [" | ".join(f"w{i}" for i in range(90)), " ".join(f"w{i}%%%" for i in range(90)), " ".join(f"W{i}!!" for i in range(90))]
     varied = " ".join(f"{w}{'' if i % 3 else i}" for i, w in enumerate(clean.split()))
