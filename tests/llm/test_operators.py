@@ -544,7 +544,35 @@ def test_near_duplicates(spark, docs, corpus, none):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     left = near_dedup.drop_near_duplicates(table)
     assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in got if r["kept"]}
-    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(30)) for k in "abcd")
+    e = d.replace(d.split()[29], "other")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d), (8, e), (8, e + " "), (None, "only null"), (None, "only null"), (2, ""), (2, ""), (None, None), (3, " ")]
+    table = spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id int").withColumn("_t1", F.lit("x"))
+    left = near_dedup.drop_near_duplicates(table)
+    assert left.columns == table.columns
+    assert Counter((r["doc_id"], (r["text"] or "").strip()) for r in left.collect()) == Counter([(1, a), (5, b), (7, c), (8, e), (None, "only null"), (2, ""), (2, ""), (None, ""), (3, "")])
+    ids = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(table).collect())
+    assert ids == Counter([(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True), (None, 1, False), (None, 8, False), (None, 8, False), (8, 8, True), (8, 8, True), (None, None, True), (None, None, True), (2, 2, True), (2, 2, True), (None, None, True), (3, 3, True)])
+
+
+def test_unlike_members_of_a_bucket_give_few_pairs(spark, monkeypatch):
+    """One band of one value puts all texts with a common passage into one bucket; few of their pairs are compared."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"{passage} " + " ".join(f"r{rng.randrange(10**9)}" for _ in range(25))) for k in range(2000)]
+    rows += [(5000 + k, rows[k][1].rsplit(" ", 1)[0] + " changed") for k in range(0, 2000, 40)]  # linked with one text each
+    compared = []
+    real = near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, texts: compared.append(pairs.count()) or real(pairs, texts))
+    monkeypatch.setattr(near_dedup, "signatures", lambda sets, bands, rows: np.ones((len(sets), bands), np.uint64))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert sum(compared) < 3 * len(rows)
 
 
 def test_signatures_estimate_similarity():
