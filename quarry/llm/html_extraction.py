@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +36,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "depth", "parts", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None, skipped: bool, named: bool = False):
         self.tag, self.parent, self.parts, self.skipped, self.named = tag, parent, [], skipped, named
+        self.depth = 0 if parent is None else parent.depth + 1
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -114,17 +116,42 @@ def _skip_named(root: _Node) -> None:
         node.chars = 0
 
 
+class _Open:
+    """The open elements by name, so that finding the innermost of some names takes no walk over the ancestors."""
+
+    def __init__(self, root: _Node):
+        self.here = root
+        self.by_tag: dict[str, list[_Node]] = {}
+
+    def innermost(self, tags: Iterable[str]) -> _Node | None:
+        found = [x[-1] for x in map(self.by_tag.get, tags) if x]
+        return max(found, key=lambda n: n.depth) if found else None
+
+    def enter(self, node: _Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(node)
+        self.here = node
+
+    def leave(self, node: _Node) -> None:
+        """Ends an open element and all inside it."""
+        while self.here is not node.parent:
+            self.by_tag[self.here.tag].pop()
+            self.here = self.here.parent
+
+
 def parse(page: str) -> _Node:
-    """A tree of the page. Unclosed elements end with their parents, new paragraphs and items close old ones."""
+    """A tree of the page. Unclosed elements end with their parents, new paragraphs and items close old ones.
+
+    Takes linear time: an element is entered and left once, and an end tag without an open element costs nothing.
+    """
     root = _Node("html", None, False)
-    at, here, any_named = 0, root, False
+    open_, at, any_named, unclosed = _Open(root), 0, False, set()
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
-            here.parts.append(page[at:])
+            open_.here.parts.append(page[at:])
             break
         if m.start() > at:
-            here.parts.append(page[at : m.start()])
+            open_.here.parts.append(page[at : m.start()])
         if m.group(2) is None:
             if page.startswith("<!--", m.start()):
                 end = page.find("-->", m.start() + 4)
@@ -136,41 +163,37 @@ def parse(page: str) -> _Node:
         attributes = page[m.end() : end]
         at = end + 1
         if m.group(1):
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            node = open_.innermost((tag,))
+            if node is not None:
+                open_.leave(node)
             elif tag == "p":
-                here.parts.append(_Node("p", here, here.skipped))
+                open_.here.parts.append(_Node("p", open_.here, open_.here.skipped))
             continue
         if tag in ("html", "body"):
             continue
         if tag in _CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in _SCOPE:
-                node = node.parent
-            if node is not root and node.tag == "p":
-                here = node.parent
+            node = open_.innermost(("p", *_SCOPE))
+            if node is not None and node.tag == "p":
+                open_.leave(node)
         if tag in _SAME:
-            node = here
-            while node is not root and node.tag not in _SAME[tag] and node.tag not in _SCOPE - _SAME[tag]:
-                node = node.parent
-            if node is not root and node.tag in _SAME[tag]:
+            node = open_.innermost(_SAME[tag] | _SCOPE)
+            if node is not None and node.tag in _SAME[tag]:
                 while node.parent is not None and node.parent.tag in _SAME[tag]:
                     node = node.parent
-                here = node.parent
+                open_.leave(node)
+        here = open_.here
         node = _Node(tag, here, here.skipped or _boilerplate(tag, attributes), _named(tag, attributes))
         any_named = any_named or node.named
         here.parts.append(node)
         if tag in _RAW:
-            close = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-            if tag == "template" or tag == "noscript":
-                at = _tag_end(page, close.start()) + 1 if close else at
+            close = None if tag in unclosed else re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            if close:
+                at = _tag_end(page, close.start()) + 1
             else:
-                at = _tag_end(page, close.start()) + 1 if close else len(page)
+                unclosed.add(tag)  # no later one is closed either
+                at = at if tag in ("template", "noscript") else len(page)
         elif tag not in _VOID and not attributes.endswith("/"):
-            here = node
+            open_.enter(node)
     if any_named:
         _skip_named(root)
     return root

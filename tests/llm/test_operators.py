@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import _bytes, mixing, near_dedup, sharding
+from quarry.llm import _bytes, html_extraction, mixing, near_dedup, sharding
 from quarry.llm._kernel import hash_windows, hash_words, split_words, text_buffer, window_starts
 from quarry.llm.decontamination import decontaminate, find_contained
 from quarry.llm.html_extraction import extract_pages, main_text
@@ -244,6 +245,75 @@ def test_main_text_is_not_emptied_by_names():
     assert main_text(page).split("\n") == [t.strip()] * 3
 
 
+def brute_density(node, body):
+    """Composite text density of a node by its definition, walking its whole subtree for every number."""
+    import html
+
+    def walk(n, linked):
+        linked = linked or n.tag == "a"
+        for x in n.parts:
+            if isinstance(x, str):
+                yield "link" if linked else "text", len(re.sub(r"\s+", "", html.unescape(x)))
+            elif not x.skipped:
+                yield "linktag" if x.tag == "a" else "tag", 1
+                yield from walk(x, linked)
+
+    def sums(n):
+        found = Counter()
+        for kind, k in walk(n, False):
+            found[kind] += k
+        return found["text"] + found["link"], found["tag"] + found["linktag"], found["link"], found["linktag"]
+
+    chars, tags, link_chars, link_tags = sums(node)
+    all_chars, _, all_links, _ = sums(body)
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + all_links / max(1, all_chars) * chars + math.e)
+    value = math.log(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))
+    if base == 1:  # no links at all; there is no logarithm to the base 1
+        return chars / max(1, tags) * max(0.0, value)
+    return chars / max(1, tags) * max(0.0, value / math.log(max(base, 1.0001)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_densities_against_brute_force(seed):
+    rng = random.Random(seed)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(0, 30)))
+            return text if rng.random() < 0.6 else f'<a href="/x">{text} &amp; co</a>'
+        tag = rng.choice(["div", "p", "span", "section", "b", "ul"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    root = html_extraction.parse(made(6) + made(6))
+    for node in html_extraction._measure(root):
+        assert node.density == pytest.approx(brute_density(node, root))
+        assert node.total == pytest.approx(sum(brute_density(x, root) for x in node.parts if not isinstance(x, str) and not x.skipped))
+
+
+def test_the_threshold_adds_what_the_best_subtree_lacks(monkeypatch):
+    want, page = split_article(random.Random(4), (2, 10, 2))
+    assert main_text(page).split("\n") == want
+    monkeypatch.setattr(html_extraction, "_chosen", lambda root: [max(html_extraction._measure(root), key=lambda n: n.total)])
+    assert main_text(page).split("\n") != want
+
+
+def test_an_article_with_a_misleading_class_stays():
+    t = "Some words that make a line of text. " * 9
+    page = f'<body><div><a href="/">Home</a></div><div class="share price"><p>{t}</p><p>{t}</p></div><footer>end</footer></body>'
+    assert main_text(page).split("\n") == [t.strip(), t.strip()]
+
+
+@pytest.mark.parametrize("page", ["<div>{0}" + "</b>{0}", "<span>{0}" + "<p>{0}", "<li><ul>" + "<b>{0}" + "<li></li>{0}", "<noscript>{0}", "<table>" + "<td><tr>{0}", "<a x='{0}", "<dl>" + "<dd><div>{0}"])
+def test_badly_nested_pages_take_linear_time(page):
+    n = 20_000
+    page = "".join(re.sub(r"((?:<[^>]*>)|(?:<a x=')){0}".replace("{0}", r"\{0\}"), lambda m: m.group(1) * n, page).split("{0}"))
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 3
+
+
 @given(st.text(alphabet="<>/ab p=\"'!-&;", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_main_text_survives_anything(page):
