@@ -23,7 +23,7 @@ from quarry.llm.html_extraction import extract_pages, main_text
 from quarry.llm.language_id import held_out, identify, train
 from quarry.llm.mixing import mix, target_rates
 from quarry.llm.quality_model import classify
-from quarry.llm.quality_rules import quality_rules
+from quarry.llm.quality_rules import STOP_WORDS, quality_rules
 from quarry.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -124,6 +124,85 @@ def test_quality_model(spark, none):
     assert classify(none.withColumn("path", F.lit("")), labelled, F.col("source"), F.col("path")).count() == 0
 
 
+def brute_quality(rows, labels):
+    """Evidence, rates and posteriors of rows (id, text, host, path) by plain loops."""
+    import unicodedata
+
+    from quarry.llm.quality_model import BINS, LIMIT, STRENGTHS
+
+    stop = {v for w in STOP_WORDS for v in (w, w.capitalize())}
+
+    def feats(t):
+        t, w = t or "", split(t)
+        n = max(1, len(w))
+        return [math.log(n), sum(c in "#*$%&|<>" for c in t) / n, sum(unicodedata.category(c) == "Lu" for c in t) / max(1, len(t)), sum(c in "!?" for c in t) / n, len(set(w)) / n, sum(x in stop for x in w) / n, (len(set(zip(w, w[1:], strict=False))) if len(w) > 2 else 0) / n]
+
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            known[i] = max(known.get(i, 0), int(y > 0))
+    sample = [(feats(t), known[i]) for i, t, _, _ in rows if i in known]
+    good = sum(y for _, y in sample)
+    bad = len(sample) - good
+    evidence = []
+    for i, t, _, _ in rows:
+        total, f = 0.0, feats(t)
+        for k in range(7):
+            values = sorted(x[k] for x, _ in sample)
+            edges = sorted({values[len(values) * j // BINS] for j in range(1, BINS)}) if values else []
+            place = lambda v: sum(v >= e for e in edges)  # noqa: B023, E731
+            g = sum(y for x, y in sample if place(x[k]) == place(f[k]))
+            b = sum(1 - y for x, y in sample if place(x[k]) == place(f[k]))
+            total += max(-LIMIT, min(LIMIT, math.log((g + 1) / (good + len(edges) + 1)) - math.log((b + 1) / (bad + len(edges) + 1))))
+        evidence.append(total)
+    prior = math.log((good + 1) / (bad + 1))
+    p = [1 / (1 + math.exp(-e - prior)) for e in evidence]
+    by_path, by_host = defaultdict(list), defaultdict(list)
+    for k, r in enumerate(rows):
+        by_path[r[2], r[3]].append(k)
+        by_host[r[2]].append(k)
+    n = len(rows)
+    overall = sum(p) / n
+    mean = lambda ks: sum(p[k] for k in ks) / len(ks)
+    inside = sum((p[k] - mean(ks)) ** 2 for ks in by_path.values() for k in ks) / max(1, n - len(by_path))
+    between = sum(len(ks) * (mean(ks) - overall) ** 2 for ks in by_host.values())
+    within = sum(len(ks) * (mean(ks) - mean(by_host[h])) ** 2 for (h, _), ks in by_path.items())
+    spread = [(between - (len(by_host) - 1) * inside) / (n - sum(len(x) ** 2 for x in by_host.values()) / n), 0.0]
+    rest = n - sum(len(x) ** 2 / len(by_host[h]) for (h, _), x in by_path.items())
+    if rest > 1e-9:
+        spread[1] = (within - (len(by_path) - len(by_host)) * inside) / rest
+    k_host, k_path = (min(STRENGTHS[1], max(STRENGTHS[0], inside / v)) if v > 0 else STRENGTHS[1] for v in spread)
+    out = []
+    for k, (i, _, h, q) in enumerate(rows):
+        host = (sum(p[j] for j in by_host[h] if j != k) + k_host * overall) / (len(by_host[h]) - 1 + k_host)
+        path = (sum(p[j] for j in by_path[h, q] if j != k) + k_path * host) / (len(by_path[h, q]) - 1 + k_path)
+        out.append((i, evidence[k], host, path, 1 / (1 + math.exp(-evidence[k] - math.log(path / (1 - path))))))
+    return out
+
+
+def test_quality_model_against_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = ["the", "Of", "and", "Haus", "ÉTÉ", "x#", "wow!", "a", "word", "<b>", "und", "zzz", "Ω"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 6 + i % 8]) for _ in range(rng.randrange(0, 60))), f"h{i % 5}" if i % 9 else None, f"p{i % 7}" if i % 4 else None) for i in range(160)]
+    rows += [(200, None, "h1", "p1"), (200, "again", "h1", "p1"), (200, "again", "h1", "p1"), (None, "no id", "h2", None), (201, "very long " * 20_000, "lone", "path")]
+    labels = [(i, rng.choice([0, 1, 2, -1, None])) for i in range(0, 160, 2)] + [(4, 1), (4, 0), (None, 1), (200, 1), (999, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").withColumns({c: F.lit(c) for c in ("_w", "_n", "evidence", "n", "s", "f0", "_id", "y", "id")})
+    got = [(r["doc_id"], r["evidence"], r["host_rate"], r["path_rate"], r["quality"]) for r in classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()]
+    want = brute_quality(rows, labels)
+    order = lambda r: (r[0] is None, r[0] or 0, round(r[1], 6))
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-7)
+
+
+def test_quality_model_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = classify(docs, labels.filter(~apart), F.col("source"), F.concat_ws("/", "source", "lang"))
+    told = out.withColumnRenamed("quality", "posterior").join(labels.filter(apart), "doc_id").agg(F.avg((F.col("kept") == (F.col("quality") > 0)).cast("double")), F.count(F.lit(1)))
+    right, n = told.first()
+    assert n > 500 and right > 0.95  # 0.9616 of 990 when written
+
+
 # --- 3 ---
 
 
