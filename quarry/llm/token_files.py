@@ -21,8 +21,10 @@ from quarry.llm._spark import materialize, parallelism, shared_dir
 
 #: Distinct words whose ids a Python worker remembers in each of two generations; longer words aren't remembered.
 CACHED_WORDS, CACHED_BYTES = 550_000, 48
-#: Documents whose words are looked up together.
-_GROUP = 2500
+#: Documents, and bytes of them, whose words are looked up together; a longer text is alone.
+_GROUP, _GROUP_BYTES = 2500, 32 << 20
+#: The same for documents whose ids are written together.
+_BLOCK, _BLOCK_BYTES = 2048, 8 << 20
 _MAGIC = b"QTOK1\0\0\0"
 _HEAD = "<QQQQ"
 
@@ -133,6 +135,21 @@ class _Coder:
         return found
 
 
+def _groups(sizes: np.ndarray, rows: int, size: int):
+    """Runs (lo, hi) of at most so many rows and bytes, at least one row each."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield lo, hi
+        lo = hi
+
+
+def _sizes_of(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def _load(path: str) -> _Coder:
     if path not in _tokenizers:
         _tokenizers[path] = _Coder(path)
@@ -150,13 +167,13 @@ def _tokenize(path: str, end_id: int, dtype: str):
         names = ["id", "body", "counts"]
         for batch in batches:
             texts = batch.column("text")
-            for lo in range(0, len(batch), _GROUP):
-                ids, ends = coder.encode(texts.slice(lo, _GROUP), dtype)
+            for lo, hi in _groups(_sizes_of(texts), _GROUP, _GROUP_BYTES):
+                ids, ends = coder.encode(texts.slice(lo, hi - lo), dtype)
                 total += np.bincount(ids, minlength=size)
                 total[end_id] += len(ends)
                 packed, cuts = ids.tobytes(), (ends * ids.itemsize).tolist()
                 bodies = [pack.compress(packed[i:j] + end) for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, _GROUP), pa.array(bodies, pa.binary()), pa.nulls(len(bodies), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(bodies, pa.binary()), pa.nulls(len(bodies), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     return run
@@ -187,11 +204,9 @@ def _write(folder: str, rank_of: np.ndarray, dtype: str):
         unpack = zstandard.ZstdDecompressor()
         out, docs, tokens = None, 0, 0
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                ids = batch.column("id").slice(lo, 2048)
-                bodies = [np.frombuffer(unpack.decompress(b), dtype) for b in batch.column("body").slice(lo, 2048).to_pylist()]
-                if not bodies:
-                    continue
+            for lo, hi in _groups(_sizes_of(batch.column("body")), _BLOCK, _BLOCK_BYTES):
+                ids = batch.column("id").slice(lo, hi - lo)
+                bodies = [np.frombuffer(unpack.decompress(b), dtype) for b in batch.column("body").slice(lo, hi - lo).to_pylist()]
                 if out is None:
                     out = system.open_output_stream(name)
                     out.write(_MAGIC)
@@ -213,7 +228,8 @@ def _write(folder: str, rank_of: np.ndarray, dtype: str):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> TokenFiles:
     """Encodes every whole text, appends end_id, and writes files whose documents follow ascending ids.
 
-    Null and blank texts have the end id alone. Null ids come first; rows of one id are ordered by
+    Null and blank texts have the end id alone; very long texts are encoded whole, apart from others; repeated rows
+    are all written; other columns are ignored, whatever their names. Null ids come first; rows of one id are ordered by
     their ids' bytes. An empty table writes no files. Frequencies are counted over all documents, and
     rank 0 is the most frequent id; the ranks (at most the vocabulary's size) pass through the driver.
     """
