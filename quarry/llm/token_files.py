@@ -66,7 +66,7 @@ class _Coder:
 
     def _encode_letters(self, cores: list[str], dtype: str) -> list[bytes]:
         """Words of letters, encoded as one text: each ends with the only token that closes a word."""
-        ids = np.array(self._ids(" ".join(cores)), dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype)  # without offsets
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(cores):
             return self._encode_each(cores, dtype)
