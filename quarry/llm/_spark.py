@@ -78,6 +78,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table for the small side of a join: broadcast if it is counted to have at most so many (narrow) rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows of a table, and the UTF-8 bytes of a text column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _bytes
 from quarry.llm._kernel import hash_windows, hash_words, mix, pieces, split_words, text_buffer, window_starts
-from quarry.llm._spark import total_bytes
+from quarry.llm._spark import materialize, small_side, total_bytes
 
 WINDOW = 13
 #: Text of one block, which a task holds; the number of blocks follows from it.
@@ -205,7 +205,7 @@ def _group(table: pa.Table) -> pa.Table:
 
 
 def _remove(size: int, bits: int, parts: int):
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("copies", pa.int64())])
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
@@ -222,32 +222,62 @@ def _remove(size: int, bits: int, parts: int):
         for i, body in enumerate(table.column("text").cast(pa.large_binary()).to_pylist()):
             words = (body or b"").split()
             texts.append(b" ".join(compress(words, kept[first[i] : first[i + 1]]) if n_removed[i] else words))
-        return pa.table([table.column("id").combine_chunks(), pa.array(np.diff(first)), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string())], schema=schema)
+        return pa.table([table.column("id").combine_chunks(), pa.array(np.diff(first)), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string()), table.column("copies").combine_chunks()], schema=schema)
 
     return remove
 
 
+def _blocks(docs: DataFrame, blocks: int, block_bytes: int) -> tuple[DataFrame, bool]:
+    """id, text, copies, block of all rows, and whether copies matter.
+
+    Rows of equal id and text would all meet in one block. As they remove nothing from each other and keep
+    the same words, those that would fill a quarter of a block stand there once, with their number.
+    """
+    docs = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(2), "text")})
+    own = F.coalesce(F.octet_length("text"), F.lit(0)) + 32
+    counted = docs.groupBy("id", "t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.max(own).alias("_bytes"))
+    many = counted.filter((F.col("copies") > 1) & (4 * F.col("copies") * F.col("_bytes") > block_bytes)).drop("_bytes")
+    many = materialize(many, "repeats")
+    repeated = many.limit(1).count() > 0
+    rows = docs.select("id", "text", F.lit(1).cast("long").alias("copies"))
+    if repeated:
+        hot = small_side(many)
+        same = docs["id"].eqNullSafe(hot["id"]) & (docs["t1"] == hot["t1"]) & (docs["t2"] == hot["t2"])
+        once = docs.join(hot, same).groupBy(docs["id"], docs["t1"], docs["t2"]).agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+        rest = docs.join(hot, same, "left_anti").select("id", "text", F.lit(1).cast("long").alias("copies"))
+        rows = rest.unionByName(once.select("id", "text", "copies"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), repeated
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Removes each word covered by a window of ``size`` words that also starts in a document of a smaller id.
 
     Windows are judged on the input. Returns a row for each input row: the id (long), n_words, n_removed
     (long), kept_text (kept words joined by one space). Null texts have no words; texts shorter than a
     window keep all. A null id counts as larger than any; rows of equal ids remove nothing from each
-    other. Very long texts have a block of their own. An empty table gives an empty one. Other columns
+    other. Very long texts have a block of their own; many equal rows are worked on once and returned as often as
+    they came. An empty table gives an empty one. Other columns
     are not returned, whatever their names. Windows are compared by 96 bits of two independent hashes.
     """
-    _, volume = total_bytes(docs, text)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    _, volume = total_bytes(source, "text")
     blocks = max(1, math.ceil(volume / block_bytes))
     bits = min(44, max(16, math.ceil(math.log2(CELLS_PER_WINDOW * max(1, volume // 6)))))
     parts = max(1, math.ceil(blocks / 2))
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(blocks)).cast("int")
+    held, repeated = _blocks(source, blocks, block_bytes)
     # every pass reads this exchange again; it is planned and run once
-    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), block.alias("block")).repartition(blocks, "block")
+    held = held.repartition(blocks, "block")
     by_block = held.groupBy("block")
     touched = by_block.applyInArrow(_sketch(size, bits, parts), _REQUEST)
     counted = touched.groupBy("part").applyInArrow(_merge(bits), _REPLY).repartition(blocks, "block")
     proposed = by_block.cogroup(counted.groupBy("block")).applyInArrow(_propose(size, bits, parts), _REQUEST)
     grouped = proposed.groupBy("part").applyInArrow(_group, _REPLY)
     answers = counted.unionByName(grouped)
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(size, bits, parts), "id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(size, bits, parts), "id long, n_words long, n_removed long, kept_text string, copies long")
+    if repeated:
+        out = materialize(out, "kept")
+        chunk = 10_000  # copies that one row makes; rows are spread before they are made
+        again = out.filter("copies > 1").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {chunk}")))).repartition("id", "_at")
+        again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk), F.col("copies") - F.col("_at") * chunk))))
+        out = out.filter("copies = 1").unionByName(again.select(*out.columns))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")

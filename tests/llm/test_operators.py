@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.llm import _bytes, html_extraction, mixing, near_dedup, sharding
+from quarry.llm import substring_dedup as substring
 from quarry.llm._kernel import hash_windows, hash_words, split_words, text_buffer, window_starts
 from quarry.llm.decontamination import decontaminate, find_contained
 from quarry.llm.html_extraction import extract_pages, main_text
@@ -95,6 +96,20 @@ def test_substring_dedup(spark, docs, corpus, block):
     assert sum(r[2] for r in got) > 500
 
 
+def test_equal_rows_fill_no_block(spark):
+    """A third of all rows are one row: it is worked on once, and comes back as often as it came."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, f"{shared} own{i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    table = few.unionAll(few.filter("doc_id = 7").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12_000)))).drop("k")).unionAll(spark.createDataFrame([(None, None)], few.schema).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(9000)))).drop("k"))
+    size = 20_000
+    held, repeated = substring._blocks(table.withColumnRenamed("doc_id", "id"), 10, size)
+    assert repeated and held.groupBy("block").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32).alias("b")).agg(F.max("b")).first()[0] < 2 * size
+    got = Counter(map(tuple, substring_dedup(table, block_bytes=size).collect()))
+    want = Counter({r: (12_001 if r[0] == 7 else 1) for r in brute_substring(rows)}) + Counter({(None, 0, 0, ""): 9000})
+    assert got == want
+
+
 def test_substring_dedup_of_nothing(none):
     assert substring_dedup(none).count() == 0
 
