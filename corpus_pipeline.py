@@ -14,38 +14,38 @@ from quarry.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null and empty texts are among them, repeated rows go or stay together."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the least id."""
+    """One row of each group of near duplicates stays: that of the least id, a null one last. Repeated rows leave but for one."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their id. Null and blank items are in no document."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or leave, as their source's target weight asks."""
+    """Documents repeat, or leave, as their source's target weight asks; a null source is one, equal rows draw alike."""
     return mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets a shard and a slot in it; slots follow a uniform permutation."""
+    """Every row gets a shard and a slot in it; slots follow a uniform permutation. Equal rows are rows of their own."""
     return shard(docs).withColumn("law", F.lit("rows"))
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: MinHash groups are components and shards are drawn, which SQL doesn't express; tests hold run() against brute force.
+#: MinHash groups are components and shards are drawn, which SQL doesn't express; tests hold run() against the stages done by plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read again."""
+    """Applies the stages to documents; each result is written as Parquet and read again. An empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm._spark import word_array
+from quarry.llm._spark import Renamed, word_array
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -56,7 +56,7 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """Pairs of a text and an item of which it holds at least the given share of distinct word shingles.
 
     Words are lower-cased. Returns the id column, item_id, n_shared, n_item (long), containment (double), one row
-    a pair; a repeated id with an equal text gives one. Null or blank texts and items match nothing;
+    a pair; a repeated id with an equal text gives one. Null or blank texts and items match nothing; very long texts are read whole;
     texts shorter than a shingle hold none of it. Empty tables give empty results. Extra columns are ignored.
     Search: windows of all texts whose hash is at most the largest of any sketch, joined on the hash.
     Verification: the candidate texts' windows as words, joined with all shingles of the item.
@@ -95,9 +95,15 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that hold no item, with their columns. Rows whose id is shared with a tainted text leave too."""
-    tainted = find_contained(docs, items, id_col, text, **options).select(F.col(id_col).alias("_tainted")).distinct()
-    return docs.join(tainted, docs[id_col].eqNullSafe(tainted["_tainted"]), "left_anti")
+    """The rows that hold no item, with their columns. Rows whose id is shared with a tainted text leave too.
+
+    Rows of a null id leave if any of them is tainted; null and blank texts stay; repeated rows stay or leave
+    together; an empty table gives an empty one. Columns of any name pass unchanged.
+    """
+    own = Renamed(docs)
+    key = own.name(id_col)
+    tainted = find_contained(own.df, items, key, own.name(text), **options).select(F.col(key).alias("_tainted")).distinct()
+    return own.df.join(tainted, own.df[key].eqNullSafe(tainted["_tainted"]), "left_anti").select(*own.restored())
 
 
 def _type(df: DataFrame, column: str) -> str:

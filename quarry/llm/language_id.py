@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample: texts of a language, and bytes taken from each.
-SAMPLE_TEXTS, SAMPLE_BYTES = 160, 700
+#: Bounds of the labelled sample: texts of a language, and characters taken from each.
+SAMPLE_TEXTS, SAMPLE_CHARS = 160, 700
 #: Those of a longer text are so many pieces over its whole length.
 SAMPLE_PIECES = 7
 #: A prediction is rejected if the next language needs less than this share of bytes more.
@@ -29,9 +29,9 @@ def letters(text: str) -> bytes:
 
 
 def _spread(text: Column, h: Column) -> Column:
-    """SAMPLE_BYTES characters of a text in pieces at places hashed from h, one in each stretch of the whole text, none twice."""
-    size = SAMPLE_BYTES // SAMPLE_PIECES
-    rest = F.char_length(text) - SAMPLE_BYTES
+    """SAMPLE_CHARS characters of a text in pieces at places hashed from h, one in each stretch of the whole text, none twice."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    rest = F.char_length(text) - SAMPLE_CHARS
 
     def piece(k: Column) -> Column:
         unit = F.pmod(F.xxhash64(h, k), F.lit(1 << 20)) / float(1 << 20)
@@ -42,10 +42,10 @@ def _spread(text: Column, h: Column) -> Column:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """One raw dictionary a language, from at most SAMPLE_TEXTS texts: the least hash of each hash bucket,
-    and of a text longer than SAMPLE_BYTES characters pieces from all over it.
+    and of a text longer than SAMPLE_CHARS characters pieces from all over it.
 
     Aggregation finds the sample, so no language's rows meet in a task; the sample (bounded by languages
-    times SAMPLE_TEXTS * SAMPLE_BYTES) is all that reaches the driver. Null languages or texts teach nothing.
+    times SAMPLE_TEXTS * SAMPLE_CHARS) is all that reaches the driver. Null languages or texts teach nothing.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -93,7 +93,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     lang_pred is the language whose dictionary encodes the text smallest, ``und`` for null texts and
     those without a letter, or if nothing was learned. score falls from 1 to 0.5 as the lead over the next language
     vanishes, 0 for und. rejected marks und and leads below MARGIN, where a filter should not trust
-    the prediction. Equal sizes go to the first language in order of name.
+    the prediction. Equal sizes go to the first language in order of name. Very long texts are encoded whole, piece
+    by piece; repeated rows are judged alike; an empty table gives an empty one; kept columns may have any names.
     """
     # a handful of columns, none of which can clash with the caller's names
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"), F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("letters"))

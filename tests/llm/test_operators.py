@@ -270,6 +270,32 @@ def test_language_id_edges(spark, none):
     assert identify(none, made).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Sizes of whole texts recomputed piece by piece with compressors made here."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    made = train(docs.filter(~held_out(F.col("doc_id"))))
+    rows = docs.filter(held_out(F.col("doc_id"))).select("doc_id", "text").collect()[:200]
+    rows = [(r["doc_id"], r["text"]) for r in rows] + [(-1, rows[0]["text"] * 400), (-2, rows[1]["text"]), (-2, rows[1]["text"]), (-3, "ß"), (-4, "1 2 _"), (-5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_first", "k0", "letters", "lang_pred")})
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["_first"]) for r in identify(table, made, keep=("doc_id", "_first")).collect())
+    want = Counter()
+    for i, text in rows:
+        body = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+        sizes = {}
+        for name, words in made.items():
+            own = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4, strategy=zstandard.STRATEGY_GREEDY, window_log=18, hash_log=17, chain_log=17, search_log=4)
+            own.precompute_compress(compression_params=params)
+            coder = zstandard.ZstdCompressor(dict_data=own, compression_params=params)
+            sizes[name] = sum(len(coder.compress(body[k : k + 2048])) - 4 for k in range(0, max(1, len(body)), 2048))
+        first, second = sorted(sizes.values())[:2]
+        score = 1 - 0.5 * math.exp(-20 * (second - first) / max(1, second))
+        want[i, min(sizes, key=lambda n: (sizes[n], n)) if body else "und", round(score, 9) if body else 0.0, "x"] += 1
+    assert got == want
+
+
 def test_language_id_learns_from_whole_texts(spark):
     banner = "this work is licensed under the terms of the licence that comes with it " * 12
     rng = random.Random(7)
@@ -464,7 +490,8 @@ def test_decontamination(spark, docs, corpus, none):
         items.append((k, " ".join(w)))
     items += [(50, None), (51, " "), (52, "nowhere to be found at all in here"), (53, texts[0].upper()[:90]), (50, texts[1][:80])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
-    table = docs.withColumn("item", F.lit(1))
+    table = docs.withColumns({c: F.lit(1) for c in ("item", "_tainted", "_id", "_w", "h", "c0")})
+    assert decontaminate(table, bench).columns == table.columns
     got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in find_contained(table, bench).collect()}
     want = brute_contained([(r[0], r[1]) for r in corpus], items)
     assert got == want and len(want) > 20
