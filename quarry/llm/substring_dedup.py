@@ -29,7 +29,7 @@ from quarry.llm._spark import materialize, small_side, total_bytes
 
 WINDOW = 13
 #: Text of one block, which a task holds; the number of blocks follows from it.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Sketch cells for each window of the input, in each of the two rows.
 CELLS_PER_WINDOW = 8
 _PIECE = 1 << 20
