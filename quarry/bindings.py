@@ -87,6 +87,27 @@ SELECT CAST(CAST(floor(o_orderkey / 3.0) AS BIGINT) AS STRING) AS commit, CASE W
 FROM {lineitem} l JOIN {orders} o ON o_orderkey = l_orderkey JOIN {part} p ON p_partkey = l_partkey
 """
 
+#: Pairs of files that change together: in docs, in one folder, or far apart.
+PAIRED_LOG = """
+SELECT CAST(o_orderkey AS STRING) AS commit, 'dev' AS author, CAST({seconds} AS BIGINT) AS ts, CAST(1 AS BIGINT) AS added, CAST(0 AS BIGINT) AS deleted,
+  CASE side WHEN 0 THEN CASE o_custkey % 5 WHEN 0 THEN 'docs/a' ELSE 'core/a' END || CAST(o_custkey % 61 AS STRING) || '.py'
+    ELSE CASE o_custkey % 3 WHEN 0 THEN 'core/b' WHEN 1 THEN 'web/b' ELSE 'lib/b' END || CAST(o_custkey % 61 AS STRING) || CASE o_custkey % 7 WHEN 0 THEN '.md' ELSE '.py' END END AS path
+FROM {orders} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 AS side) sides
+"""
+
+_TEMPLATES = {
+    "python": ("import os¶from pkg.¦ import thing¶¶def ¤(x, y=1):¶    \"\"\"Adds.\"\"\"¶    if x and y:¶        for i in x:¶            foo(i)¶", "    if x > 1:¶        foo(1)¶", "    return obj.bar(y)¶¶class Box:¶    def _hid(self, z):¶        return Box()¶"),
+    "rust": ("use std::io;¶¶/// Adds.¶pub fn ¤(x: i32, y: i32) -> i32 «¶    if x > 1 «¶        for i in 0..y «¶            foo(i);¶        »¶    »¶", "    if x > 2 «¶        foo(1);¶    »¶", "    obj.bar(y)¶»¶¶struct Box « a: i32 »¶¶#[test]¶fn checks() «¶    assert!(¤(1, 2) == 3);¶»¶"),
+    "typescript": ("import « a » from \"../lib/¦\";¶¶export function ¤(x: number, y: number) «¶  if (x && y) «¶    foo(x);¶  »¶", "  if (x > 1) «¶    foo(1);¶  »¶", "  return obj.bar(y);¶»¶¶class Box «¶  run(q) « return this.go(q); »¶»¶"),
+}
+_CONTENT = "CASE language " + " ".join(f"WHEN '{k}' THEN '{head}' || repeat('{part}', m) || '{tail}'" for k, (head, part, tail) in _TEMPLATES.items()) + " END"
+#: A source file a part; its name n, and m more branches, tell what a parser must find.
+SOURCES = f"""
+SELECT relpath, language, n, m, a, replace(replace(replace(replace(replace({_CONTENT}, '¤', n), '¦', a), '¶', chr(10)), '«', chr(123)), '»', chr(125)) AS content
+FROM (SELECT 'src/p' || CAST(p_partkey AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' ELSE '.ts' END AS relpath, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' ELSE 'typescript' END AS language,
+  split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) AS n, split_part(p_name, ' ', 1) AS a, CAST(p_size % 4 AS INT) AS m FROM {{part}}) x
+"""
+
 DOCUMENTS = """
 SELECT source AS relpath, CAST(d.doc_id AS INT) AS ord, 'doc_' || lang AS name, lang AS language, text AS body, '' AS signature, '' AS docstring, coalesce(toxic, 0) = 1 AS is_test
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id

@@ -12,6 +12,8 @@ from quarry.functions import names, paths, tags, vectors
 from quarry.operators import clones, dead, embed, graph, history, index, issues, metrics, profile, rank, slices
 from quarry.operators import names as name_health
 from quarry.plans import review
+from quarry.sources import tree
+from quarry.sources.shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,22 +40,33 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return B.rows(spark, d, B.FILES)
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return graph.resolve_calls(B.rows(spark, d, B.CALLS), _symbols(spark, d), _files(spark, d))
 
 
-def _full(spark: SparkSession, d: str) -> DataFrame:
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Resolved calls, written once for the query, as an index has them."""
+    return materialize(_resolved(spark, d), "edges")
+
+
+def _full(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     """Symbols with effects, cost and fans."""
     tagged = _symbols(spark, d).withColumns({"effects": tags.effects("body"), "cost_hint": tags.cost_hint("body")})
-    return graph.with_fans(tagged, _edges(spark, d))
+    return graph.with_fans(tagged, _edges(spark, d) if edges is None else edges)
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return rank.compute_rank(_files(spark, d), _symbols(spark, d), _edges(spark, d))
+def _ranked(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    return rank.compute_rank(_files(spark, d), _symbols(spark, d), _edges(spark, d) if edges is None else edges)
+
+
+def _order(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    return rank.reading_order(_full(spark, d, edges), _ranked(spark, d, edges))
 
 
 def _prints(spark: SparkSession, d: str) -> DataFrame:
-    return name_health.with_fingerprints(_full(spark, d), _edges(spark, d))
+    edges = _edges(spark, d)
+    return name_health.with_fingerprints(_full(spark, d, edges), edges)
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +80,8 @@ def _history_files(log: DataFrame) -> DataFrame:
 def _all_issues(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d)
     files = _files(spark, d).select("relpath", "is_test").unionByName(_history_files(log))
-    return issues.find_issues(_full(spark, d), files, history.coupling(log))
+    full = materialize(_full(spark, d).drop("body", "docstring", "signature"), "full")
+    return issues.find_issues(full, files, history.coupling(log))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +325,7 @@ def page_tags(spark, d):
 
 @query(_with(*CODE) + "SELECT src_relpath, src_ord, dst_relpath, dst_ord, dst_name FROM e")
 def call_edges(spark, d):
-    return _edges(spark, d).drop("kind")
+    return _resolved(spark, d).drop("kind")
 
 
 @query(
@@ -340,7 +354,7 @@ def dead_symbols(spark, d):
     return dead.dead_symbols(graph.with_fans(_symbols(spark, d), _edges(spark, d)), _files(spark, d)).select("relpath", "ord", "name")
 
 
-@query(_with(*CODE) + "SELECT relpath, loc FROM f WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst_relpath = f.relpath AND ord_even = 0) AND NOT EXISTS (SELECT 1 FROM s WHERE s.is_entry AND s.relpath = f.relpath)".replace("ord_even = 0", "src_ord % 3 = 0"))
+@query(_with(*CODE) + "SELECT relpath, loc FROM f WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst_relpath = f.relpath) AND NOT EXISTS (SELECT 1 FROM s WHERE s.is_entry AND s.relpath = f.relpath)")
 def dead_files(spark, d):
     return dead.dead_files(_files(spark, d), _symbols(spark, d), _edges(spark, d)).select("relpath", "loc")
 
@@ -375,7 +389,7 @@ ro AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sc DESC, relpath, ord) AS
     CASE WHEN pagerank > 0.05 THEN 'high graph centrality' END], lambda x: x IS NOT NULL), ', '), ''), 'ranked by PageRank and complexity') AS why FROM ro"""
 )
 def reading_order(spark, d):
-    return rank.reading_order(_full(spark, d), _ranked(spark, d)).select("position", "relpath", "ord", "name", "why")
+    return _order(spark, d).select("position", "relpath", "ord", "name", "why")
 
 
 # --- names ----------------------------------------------------------------------------------------
@@ -436,7 +450,7 @@ sh AS MATERIALIZED (SELECT relpath, ord, substr(coalesce(list_filter(k, lambda x
 
 @query(_with(D, TOKENS) + "SELECT relpath, ord, bucket, len(s)::INT AS n, md5(array_to_string(list_sort(s), chr(10))) AS digest FROM sh")
 def clone_shingles(spark, d):
-    rows = clones.token_sets(B.rows(spark, d, B.DOCUMENTS), None)
+    rows = clones.token_sets(B.rows(spark, d, B.DOCUMENTS))
     return rows.select("relpath", "ord", "bucket", F.size("shingles").alias("n"), F.md5(F.array_join(F.sort_array("shingles"), "\n")).alias("digest"))
 
 
@@ -446,7 +460,7 @@ def clone_shingles(spark, d):
     FROM sh a JOIN sh b ON a.bucket = b.bucket AND (a.relpath < b.relpath OR (a.relpath = b.relpath AND a.ord < b.ord)) WHERE len(list_intersect(a.s, b.s)) >= 0.55 * len(list_distinct(list_concat(a.s, b.s)))"""
 )
 def token_clones(spark, d):
-    return clones.token_clones(B.rows(spark, d, B.DOCUMENTS), body_bytes=None).withColumn("score", F.round("score", 9)).drop("method")
+    return clones.token_clones(B.rows(spark, d, B.DOCUMENTS)).withColumn("score", F.round("score", 9)).drop("method")
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35")
@@ -588,6 +602,64 @@ def listed_issues(spark, d):
     return issues.list_issues(_all_issues(spark, d), _symbols(spark, d), 5).withColumn("score", F.round("score", 6))
 
 
+_SHOTGUN_FILES = """hf AS (SELECT path AS relpath FROM log WHERE NOT regexp_matches(path, '/(a[0-9]*[37]|b[0-9]*[57])\\.'))"""
+
+
+@query(
+    _with(f"log AS MATERIALIZED ({B.duck(B.PAIRED_LOG)})", COUPLING, _SHOTGUN_FILES)
+    + """SELECT relpath, file_a || ' <-> ' || file_b || ' shared=' || shared AS detail, round(strength, 6) AS score FROM (SELECT *, CASE WHEN file_a IN (FROM hf) THEN file_a WHEN file_b IN (FROM hf) THEN file_b END AS relpath FROM cp)
+    WHERE relpath IS NOT NULL AND strength >= 0.4 AND split_part(file_a, '/', 1) <> split_part(file_b, '/', 1) AND NOT regexp_matches(file_a || chr(10) || file_b, '(?m)^docs/|\\.md$')"""
+)
+def shotgun_issues(spark, d):
+    log = B.rows(spark, d, B.PAIRED_LOG)
+    indexed = log.select(F.col("path").alias("relpath")).distinct().filter(~F.col("relpath").rlike(r"/(a[0-9]*[37]|b[0-9]*[57])\."))
+    return issues.shotgun_surgery(history.coupling(log), indexed).select("relpath", "detail", F.round("score", 6).alias("score"))
+
+
+# --- parsers --------------------------------------------------------------------------------------
+
+SRC = f"src AS ({B.duck(B.SOURCES)})"
+
+
+def _parsed(spark, d):
+    raw = B.rows(spark, d, B.SOURCES)
+    return tree.parse_files(raw.select("relpath", F.encode("content", "UTF-8").alias("content"), "language")), raw.select("relpath", F.lit(False).alias("is_test"))
+
+
+_SYMBOL_ROWS = """
+SELECT relpath, 0 AS ord, n AS name, 'function' AS kind, 'def ' || n || '(x, y=1)' AS signature, 'Adds.' AS docstring, 4 AS start_line, 9 + 2 * m AS end_line, 4 + m AS cyclomatic, 4 + m AS cognitive, 2 AS nesting, 2 AS nargs, true AS is_public, false AS is_entry, false AS is_test FROM src WHERE language = 'python'
+UNION ALL SELECT relpath, 1, '_hid', 'method', 'class Box: def _hid(self, z)', '', 12 + 2 * m, 13 + 2 * m, 1, 0, 0, 1, false, false, false FROM src WHERE language = 'python'
+UNION ALL SELECT relpath, 0, n, 'function', 'pub fn ' || n || '(x: i32, y: i32) -> i32', 'Adds.', 4, 11 + 3 * m, 3 + m, 3 + m, 2, 2, true, false, false FROM src WHERE language = 'rust'
+UNION ALL SELECT relpath, 1, 'Box', 'struct', 'struct Box', '', 13 + 3 * m, 13 + 3 * m, 1, 0, 0, 0, false, false, false FROM src WHERE language = 'rust'
+UNION ALL SELECT relpath, 2, 'checks', 'function', 'fn checks()', '', 16 + 3 * m, 18 + 3 * m, 1, 0, 0, 0, false, false, true FROM src WHERE language = 'rust'
+UNION ALL SELECT relpath, 0, n, 'function', 'function ' || n || '(x: number, y: number)', '', 3, 8 + 3 * m, 3 + m, 2 + m, 1, 2, true, false, false FROM src WHERE language = 'typescript'
+UNION ALL SELECT relpath, 1, 'run', 'function', 'run(q)', '', 11 + 3 * m, 11 + 3 * m, 1, 0, 0, 1, true, true, false FROM src WHERE language = 'typescript'
+"""
+
+
+@query(_with(SRC) + _SYMBOL_ROWS)
+def parsed_symbols(spark, d):
+    parsed, files = _parsed(spark, d)
+    return tree.symbols_table(parsed, files).drop("body")
+
+
+@query(
+    _with(SRC)
+    + """SELECT relpath, n AS owner, 'foo' AS callee FROM src, (SELECT unnest(range(0, 4)) AS j) WHERE j <= m UNION ALL SELECT relpath, n, 'bar' FROM src
+    UNION ALL SELECT relpath, CASE language WHEN 'python' THEN '_hid' WHEN 'rust' THEN 'checks' ELSE 'run' END, CASE language WHEN 'python' THEN 'Box' WHEN 'rust' THEN n ELSE 'go' END FROM src"""
+)
+def parsed_calls(spark, d):
+    return tree.owner_calls_table(_parsed(spark, d)[0])
+
+
+@query(
+    _with(SRC)
+    + """SELECT relpath, unnest(CASE language WHEN 'python' THEN ['os', 'pkg', 'pkg', 'thing'] WHEN 'rust' THEN ['use std::io;'] ELSE ['../lib/' || a] END) AS module_hint FROM src"""
+)
+def parsed_imports(spark, d):
+    return tree.import_facts_table(_parsed(spark, d)[0])
+
+
 # --- slices ---------------------------------------------------------------------------------------
 
 _ROOTS = "root AS (SELECT relpath, ord, name FROM s WHERE name = 'main')"
@@ -667,7 +739,7 @@ def review_sessions(spark, d):
 
 @query(_with(*CODE, FULL, RANK, _READING) + "SELECT position::INT AS position, 'Which side effects has `' || relpath || '::' || name || '`, and do they belong at a boundary?' AS question FROM ro WHERE position <= 8 UNION ALL SELECT position::INT, 'Could `' || name || '` in `' || relpath || '` be divided? Its cognitive complexity is ' || cognitive || '.' FROM ro WHERE position <= 8 AND cognitive >= 10")
 def review_questions(spark, d):
-    return review.reading_questions(rank.reading_order(_full(spark, d), _ranked(spark, d))).select("position", "question")
+    return review.reading_questions(_order(spark, d)).select("position", "question")
 
 
 _MAP = """m AS MATERIALIZED (SELECT relpath, greatest(loc, 1)::DOUBLE AS size, row_number() OVER (ORDER BY relpath) AS r, sum(greatest(loc, 1)) OVER (ORDER BY relpath DESC)::DOUBLE AS remain FROM f),
@@ -698,4 +770,4 @@ def label_rows(spark, d):
     FROM sh a JOIN sh b ON a.bucket = b.bucket AND (a.relpath < b.relpath OR (a.relpath = b.relpath AND a.ord < b.ord)) JOIN documents x ON x.doc_id = a.ord JOIN documents y ON y.doc_id = b.ord) WHERE score >= 0.55""")
 def clone_rows(spark, d):
     docs = B.rows(spark, d, B.DOCUMENTS)
-    return clones.clone_rows(clones.token_clones(docs, body_bytes=None), docs).withColumn("score", F.round("score", 9))
+    return clones.clone_rows(clones.token_clones(docs), docs).withColumn("score", F.round("score", 9))

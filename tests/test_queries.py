@@ -14,8 +14,3 @@ def test_query_matches_sql(name, same_rows):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
-
-
-def test_dead_files_see_the_calls_of_all_symbols(same_rows):
-    sql = queries.ORACLE_SQL["dead_files"].replace("src_ord % 3 = 0", "true")
-    same_rows(queries.QUERIES["dead_files"], sql)
