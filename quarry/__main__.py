@@ -12,26 +12,61 @@ import tempfile
 from quarry import __version__
 
 
-def _show(value, as_json: bool) -> None:
-    from pyspark.sql import DataFrame
+#: Rows that a view shows; --json gives all.
+SHOWN = {"issues": 15, "symbols": 25, "files": 25, "hollow": 25, "candidates": 20, "unresolved_callees": 12}
+_HEAVY = ("embed_sig", "embed_doc", "embed_body", "body", "docstring", "fingerprint")
+
+
+def _table(rows: list[dict], limit: int) -> None:
+    """Rows in columns, at most so many, and how many more there are."""
+    shown = [{k: str(v) for k, v in r.items()} for r in rows[:limit]]
+    wide = {k: min(60, max(len(k), *(len(r[k]) for r in shown))) for k in (shown[0] if shown else {})}
+    for r in [{k: k for k in wide}, *shown] if shown else []:
+        print("  " + "  ".join(r[k][:w].ljust(w) for k, w in wide.items()).rstrip())
+    if len(rows) > limit:
+        print("  ... and more")
 
-    def plain(x):
-        if isinstance(x, DataFrame):
-            return [r.asDict(recursive=True) for r in x.drop("embed_sig", "embed_doc", "embed_body", "body").collect()]
-        return {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
 
+def _show(value, as_json: bool, name: str = "") -> None:
+    from pyspark.sql import DataFrame
+
+    limit = SHOWN.get(name, 25)
     if as_json:
-        print(json.dumps(plain(value), default=str))
+        _emit(value)
+        print()
     elif isinstance(value, DataFrame):
-        value.drop("embed_sig", "embed_doc", "embed_body", "body", "docstring", "fingerprint").show(25, truncate=60)
+        _table([r.asDict(recursive=True) for r in value.drop(*_HEAVY).limit(limit + 1).collect()], limit)
+    elif isinstance(value, list) and value and isinstance(value[0], dict):
+        _table(value, limit)
+    elif isinstance(value, list):
+        print(", ".join(map(str, value[:limit])) + (", ... and more" if len(value) > limit else ""))
     elif isinstance(value, dict):
         for k, v in value.items():
-            print(f"{k}:", end=" " if not isinstance(v, DataFrame) else "\n")
-            _show(v, False)
+            print(f"{k}:", end="\n" if isinstance(v, (DataFrame, dict)) or (isinstance(v, list) and v and isinstance(v[0], dict)) else " ")
+            _show(v, False, k)
     else:
         print(value)
 
 
+def _emit(value) -> None:
+    """Strict JSON; tables are streamed a partition at a time."""
+    from pyspark.sql import DataFrame
+
+    if isinstance(value, DataFrame):
+        print("[", end="")
+        for i, r in enumerate(value.drop(*_HEAVY[:4]).toLocalIterator()):
+            print(", " * (i > 0) + json.dumps(r.asDict(recursive=True), default=str), end="")
+        print("]", end="")
+    elif isinstance(value, dict):
+        print("{", end="")
+        for i, (k, v) in enumerate(value.items()):
+            print(", " * (i > 0) + json.dumps(k), end=": ")
+            _emit(v)
+        print("}", end="")
+    else:
+        print(json.dumps(value, default=str), end="")
+
+
 def _profiled(lang: str, pid: int | None, seconds: int, command: list[str], dest: str) -> str | None:
     """Runs or attaches a profiler; the reason if that can't be done."""
     if lang == "python":
@@ -57,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("scan", "analyze"):
         c = add(name)
         c.add_argument("--max-files", type=int)
+        c.add_argument("--budget-seconds", type=float)
+        c.add_argument("--model", help="module:function from a text column to a vector column")
         c.add_argument("--no-embed", action="store_true")
         c.add_argument("--git", action=argparse.BooleanOptionalAction, default=name == "analyze")
     add("rank").add_argument("--limit", type=int, default=15)
@@ -98,7 +135,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"error": "no index; scan first"}) if args.json else "no index; scan first", file=sys.stdout if args.json else sys.stderr)
         return 1
     if fresh:
-        value = engine.scan(args.max_files, args.git, not args.no_embed)
+        value = engine.scan(args.max_files, args.git, not args.no_embed, args.budget_seconds, args.model)
         if args.command == "analyze":
             value["report"] = str(engine.report())
             engine.review(value["report"])
@@ -131,7 +168,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         value = getattr(engine, args.command)()
     if not args.quiet:
-        _show(value, args.json)
+        _show(value, args.json, args.command)
     return 1 if isinstance(value, dict) and "error" in value and args.command != "slice" else 0
 
 

@@ -14,7 +14,9 @@ from quarry import schema
 from quarry.operators import clones, dead, history, issues, metrics, profile, rank, slices
 from quarry.operators import names as name_health
 from quarry.plans import build, report, review
+from quarry.sources import git as git_source
 from quarry.sources import tree
+from quarry.sources.shared import materialize
 
 LIMITS = {"dead": 30, "dead_files": 20, "hollow": 20, "names": 40, "issues": 40, "order": 15}
 
@@ -28,11 +30,19 @@ class Engine:
 
     # --- the index ---
 
-    def scan(self, max_files: int | None = None, git: bool = False, embed: bool = True) -> dict:
-        summary = build.scan(self.spark, self.root, max_files, git, embed, self.store)
-        self.__dict__ = {k: v for k, v in self.__dict__.items() if k in ("spark", "root", "store")}
+    def scan(self, max_files: int | None = None, git: bool = False, embed: bool = True, budget_seconds: float | None = None, model: str | None = None) -> dict:
+        summary = build.scan(self.spark, self.root, max_files, git, embed, self.store, budget_seconds, model)
+        self._forget()
         return summary | {"inventory": self.inventory()}
 
+    def reset(self) -> None:
+        """Empties the index but for its meta entries."""
+        build.reset(self.spark, self.store)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.__dict__ = {k: v for k, v in self.__dict__.items() if k in ("spark", "root", "store")}
+
     def table(self, name: str) -> DataFrame:
         return build.load(self.spark, self.store, name)
 
@@ -56,10 +66,14 @@ class Engine:
         return row | {"languages": _rows(metrics.languages(self.files).orderBy("language")), "entry_points": _rows(metrics.entry_points(self.files, self.symbols)), "packages": tree.packages(self.root)}
 
     def rank(self, limit: int = 15) -> DataFrame:
-        return rank.reading_order(self.symbols, self.files, limit)
+        """The reading order, ranked anew over the stored edges."""
+        return rank.reading_order(self.symbols, self._ranked(), limit)
 
     def file_rank(self) -> DataFrame:
-        return rank.file_order(metrics.files_with_complexity(self.files, self.symbols))
+        return rank.file_order(self._ranked())
+
+    def _ranked(self) -> DataFrame:
+        return rank.compute_rank(self.files, self.symbols, self.edges)
 
     def dead(self) -> dict[str, DataFrame]:
         return {"symbols": dead.dead_symbols(self.symbols, self.files), "files": dead.dead_files(self.files, self.symbols, self.edges), "hollow": dead.hollow_symbols(self.symbols, self.files)}
@@ -69,7 +83,14 @@ class Engine:
         return issues.list_issues(self.table("issues"), self.symbols, limit)
 
     def names(self) -> DataFrame:
-        return name_health.flag_rows(self.table("name_flags"), self.symbols)
+        """Flags on names and bodies, found anew in the stored symbols."""
+        return name_health.flag_rows(self._flags(), self.symbols)
+
+    def _flags(self) -> DataFrame:
+        prints = materialize(name_health.with_fingerprints(self.symbols.drop("fingerprint"), self.edges), "prints")
+        flags = name_health.name_flags(prints)
+        hollow = dead.hollow_symbols(self.symbols, self.files).select("relpath", "ord", F.lit("hollow").alias("kind"), F.col("reason").alias("detail"), F.lit(1.0).alias("score"))
+        return flags.unionByName(hollow).unionByName(clones.mismatches(self.symbols))
 
     def clusters(self) -> dict[str, DataFrame]:
         return {"clones": clones.clone_rows(self.table("clones"), self.symbols), "clusters": clones.label_cluster(self.symbols)}
@@ -85,7 +106,12 @@ class Engine:
         return clones.similar_to(rows, target, ["relpath", "ord"], "embed_body", k).drop("embed_body")
 
     def history(self) -> dict[str, DataFrame]:
-        return {"hot_files": history.hot_files(self.files), "temporal_coupling": history.strongest_coupling(self.table("git_coupling"))}
+        """Hot files and coupling by the log as it is now; as stored where there is no log to read."""
+        log, reason = git_source.git_log(self.spark, self.root)
+        if reason:
+            return {"hot_files": history.hot_files(self.files), "temporal_coupling": history.strongest_coupling(self.table("git_coupling"))}
+        files = rank.compute_rank(history.with_history(self.files, log), self.symbols, self.edges)
+        return {"hot_files": history.hot_files(files), "temporal_coupling": history.strongest_coupling(history.coupling(log))}
 
     def slice(self, query: str, depth: int = 4) -> dict:
         """What a symbol reaches and who reaches it. Ambiguous bare names list the candidates instead."""
@@ -125,7 +151,7 @@ class Engine:
         laid = profile.overlay(self.files, self.symbols, weights)
         files = rank.compute_rank(laid, self.symbols, self.edges).select(*schema.struct(schema.FILES).fieldNames())
         build.save({name: (files if name == "files" else self.table(name)) for name in schema.TABLES}, self.store)
-        self.__dict__.pop("files", None)
+        self._forget()
         return done | {"path": path}
 
     # --- reports ---
@@ -170,9 +196,9 @@ class Engine:
             "dead_symbols": gone["symbols"].select("relpath", "name", "kind", "signature", "start_line", "is_public"), "dead_files": gone["files"].select("relpath", "language", "loc", "pagerank"), "hollow": gone["hollow"].select("relpath", "name", "start_line", "signature", "reason"),
         }
         counts = {name: report.write_json_rows(df, data / f"{name}.json") for name, df in tables.items()}
-        (data / "dead.json").write_text(json.dumps({k: json.loads((data / f"{n}.json").read_text()) for k, n in (("symbols", "dead_symbols"), ("files", "dead_files"), ("hollow", "hollow"))}))
+        report.join_json({"symbols": data / "dead_symbols.json", "files": data / "dead_files.json", "hollow": data / "hollow.json"}, data / "dead.json")
         (data / "overview.json").write_text(json.dumps({"repo": self.root, "counts": counts, "inventory": self.inventory()}, default=str))
-        Path(dest, "report.html").write_text(report.explorer_page({name: json.loads((data / f"{name}.json").read_text()) for name in tables}))
+        report.write_explorer({name: data / f"{name}.json" for name in tables}, Path(dest, "report.html"))
         return counts
 
     def report(self, base: str | None = None, refresh: bool = False) -> Path:
@@ -194,7 +220,7 @@ class Engine:
 
     def labels(self, dest: str) -> int:
         Path(dest).parent.mkdir(parents=True, exist_ok=True)
-        return report.write_labels(name_health.label_rows(self.table("name_flags"), self.symbols), Path(dest))
+        return report.write_labels(name_health.label_rows(self._flags(), self.symbols), Path(dest))
 
 
 def _nothing(query: str, reason: str) -> dict:

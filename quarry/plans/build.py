@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import shutil
 import time
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry import schema
 from quarry.functions import tags
+from quarry.functions.vectors import stub_vector
 from quarry.operators import clones, dead, embed, graph, history, index, issues, metrics, rank
 from quarry.operators import names as name_health
 from quarry.sources import git, tree
@@ -45,14 +47,29 @@ def save(tables: dict[str, DataFrame], store: str) -> None:
     shutil.rmtree(old, ignore_errors=True)
 
 
+def reset(spark: SparkSession, store: str) -> None:
+    """Empties all tables but meta."""
+    save({name: load(spark, store, name) if name == "meta" else spark.createDataFrame([], columns) for name, columns in schema.TABLES.items()}, store)
+
+
 def read_meta(spark: SparkSession, store: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in load(spark, store, "meta").collect()}
 
 
-def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git: bool = False, with_embed: bool = True, store: str | None = None) -> dict:
+def _model(name: str | None):
+    """The function that module:function names; the stub for no name."""
+    if name is None:
+        return stub_vector
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git: bool = False, with_embed: bool = True, store: str | None = None, budget_seconds: float | None = None, model: str | None = None) -> dict:
     """Walks, parses changed files, resolves, tags, ranks and flags; writes the index; returns a summary.
 
-    Each step is written to the shared folder and read again: plans stay small, and nothing is computed twice.
+    Files that can't be parsed within the budget keep what the index has of them, if anything, and count as
+    changed at the next scan. A model is named as module:function, a function from a text column to a vector
+    column; without it vectors are the deterministic stub. Vectors of another model are made anew. Each step is written to the shared folder and read again: plans stay small, and nothing is computed twice.
     """
     began = time.time()
     root = str(Path(root).resolve())
@@ -67,8 +84,15 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
     dirty = state.filter("state = 'dirty'").select("relpath")
     gone = state.filter("state <> 'reused'").select("relpath")
 
-    source = raw.join(F.broadcast(dirty), "relpath", "left_semi").join(walked.select("relpath", "language"), "relpath")  # paths of one tree
-    parsed = materialize(tree.parse_files(source), "parsed")
+    source = raw.join(dirty, "relpath", "left_semi").join(walked.select("relpath", "language"), "relpath")
+    parsed = materialize(tree.parse_files(source, None if budget_seconds is None else began + budget_seconds), "parsed")
+    late = 0
+    if budget_seconds is not None:
+        missed = materialize(dirty.join(parsed.select("relpath"), "relpath", "left_anti"), "late")
+        late = missed.count()
+        gone = gone.join(missed, "relpath", "left_anti")
+        known = old_files.join(missed, "relpath", "left_semi").select(*walked.columns)
+        walked = materialize(walked.join(missed, "relpath", "left_anti").unionByName(known), "walked")
     new_symbols = tree.symbols_table(parsed, walked)
     new_calls = graph.attach_calls(new_symbols, tree.owner_calls_table(parsed))
     kept = lambda name, columns: index.without_files(load(spark, store, name), gone).select(*columns)
@@ -96,7 +120,7 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
     pairs = materialize(history.coupling(log), "coupling")
     files = materialize(rank.compute_rank(materialize(files, "files"), symbols, edges), "files")
     empty = F.lit(None).cast("array<float>")
-    full = embed.embed_symbols(full, only_missing=False) if with_embed else full.withColumns({c: empty for c in ("embed_sig", "embed_doc", "embed_body")})
+    full = embed.embed_symbols(full, _model(model), only_missing=False) if with_embed else full.withColumns({c: empty for c in ("embed_sig", "embed_doc", "embed_body")})
     full = materialize(full, "full")
     flags = name_health.name_flags(full).unionByName(dead.hollow_symbols(full, files).select("relpath", "ord", F.lit("hollow").alias("kind"), F.col("reason").alias("detail"), F.lit(1.0).alias("score")))
     copies = clones.token_clones(full)
@@ -104,7 +128,7 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
         flags = flags.unionByName(clones.mismatches(full))
         copies = copies.unionByName(clones.vector_clones(full))
     found = issues.find_issues(full, files, pairs)
-    entries = {"repo": root, "model": "stub" if with_embed else "none", "parser_version": PARSER_VERSION, "schema_version": SCHEMA_VERSION}
+    entries = {"repo": root, "model": (model or "stub") if with_embed else "none", "parser_version": PARSER_VERSION, "schema_version": SCHEMA_VERSION}
     columns = lambda name: schema.struct(schema.TABLES[name]).fieldNames()
     tables = {
         "files": files.select(*columns("files")),
@@ -123,6 +147,6 @@ def scan(spark: SparkSession, root: str, max_files: int | None = None, with_git:
     sizes = {r["name"]: r["n"] for r in metrics.table_counts(**stored).collect()}
     kinds = {r["kind"]: r["n"] for r in metrics.kind_counts(stored["name_flags"]).collect()}
     return {
-        "files": sizes["files"], "symbols": sizes["symbols"], "edges": sizes["edges"], "parsed": counts.get("dirty", 0), "reused": counts.get("reused", 0), "removed": counts.get("removed", 0), "clones": sizes["clones"],
+        "files": sizes["files"], "symbols": sizes["symbols"], "edges": sizes["edges"], "parsed": counts.get("dirty", 0) - late, "late": late, "reused": counts.get("reused", 0), "removed": counts.get("removed", 0), "clones": sizes["clones"],
         "hollow": kinds.get("hollow", 0), "mismatches": kinds.get("doc_body_mismatch", 0) + kinds.get("signature_body_mismatch", 0), "issues": sizes["issues"], "git": info, "elapsed_seconds": round(time.time() - began, 3), "model": entries["model"],
     }

@@ -13,8 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-_TWO = [r"\d\d"] * 3
-STAMP = re.compile(r"\d\d" + "-".join(_TWO) + "_" + "-".join(_TWO) + r"(?:_\d+)?$")
+STAMP = re.compile(r"\d{4}-\d\d-\d\d_\d\d-\d\d-\d\d(?:_\d+)?$")
 
 
 def new_report_dir(base: str, now: datetime | None = None) -> Path:
@@ -61,12 +60,9 @@ def write_labels(df: DataFrame, path: Path) -> int:
     return n
 
 
-_SVG = "/".join(("http:", "", "www.w3.org", "2000", "svg"))
-
-
 def heatmap_svg(rects: Iterable[dict], width: int = 960, height: int = 640) -> str:
     """Rectangles of two pixels or more, labelled where a name fits."""
-    parts = [f'<svg viewBox="0 0 {width} {height}" xmlns="{_SVG}" width="{width}" height="{height}">', "<style>text{font:11px sans-serif;fill:#111}</style>"]
+    parts = [f'<svg viewBox="0 0 {width} {height}" xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">', "<style>text{font:11px sans-serif;fill:#111}</style>"]
     for r in rects:
         if r["w"] < 2 or r["h"] < 2:
             continue
@@ -96,6 +92,19 @@ for(const id of ['find','tongue','side'])$(id).oninput=()=>{page=0;draw()};$('pr
 """
 
 
-def explorer_page(tables: dict[str, list[dict]]) -> str:
+def join_json(tables: dict[str, Path], path: Path, head: str = "", tail: str = "", escape: bool = False) -> None:
+    """One JSON object of the arrays in some files, copied line by line, between a head and a tail."""
+    with path.open("w") as out:
+        out.write(head + "{")
+        for i, (name, source) in enumerate(tables.items()):
+            out.write(("," if i else "") + json.dumps(name) + ":")
+            with source.open() as rows:
+                for line in rows:
+                    out.write(line.replace("<", "\\u003c") if escape else line)
+        out.write("}" + tail)
+
+
+def write_explorer(tables: dict[str, Path], path: Path) -> None:
     """One page with the tables inside; '<' is escaped so that no text ends the script."""
-    return _PAGE.replace("__DATA__", json.dumps(tables, ensure_ascii=False, default=str).replace("<", "\\u003c"))
+    head, tail = _PAGE.split("__DATA__")
+    join_json(tables, path, head, tail, escape=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -56,14 +57,26 @@ def _bytes(path: str) -> bytes:
         return b""
 
 
-def parse_files(raw: DataFrame) -> DataFrame:
-    """Adds symbols, calls, import_modules, ast_nodes to relpath, content, language; one Python pass."""
+def parse_files(raw: DataFrame, deadline: float | None = None) -> DataFrame:
+    """Adds symbols, calls, import_modules, ast_nodes to relpath, content, language; one Python pass.
+
+    Files whose turn comes after the deadline (in seconds since 1970) are left out.
+    """
 
     def parse(batches):
         from quarry.sources.parsers import parse_source
 
         for batch in batches:
-            found = [parse_source(lang, os.path.splitext(p)[1].lower(), bytes(c)) for lang, p, c in zip(batch["language"], batch["relpath"], batch["content"], strict=True)]
+            batch = batch.reset_index(drop=True)
+            if deadline is not None:
+                found = []
+                for lang, p, c in zip(batch["language"], batch["relpath"], batch["content"], strict=True):
+                    if time.time() >= deadline:
+                        break
+                    found.append(parse_source(lang, os.path.splitext(p)[1].lower(), bytes(c)))
+                batch = batch.iloc[: len(found)]
+            else:
+                found = [parse_source(lang, os.path.splitext(p)[1].lower(), bytes(c)) for lang, p, c in zip(batch["language"], batch["relpath"], batch["content"], strict=True)]
             rows = pd.DataFrame([x.as_row() for x in found], columns=["symbols", "calls", "import_modules", "ast_nodes"])
             yield pd.concat([batch[["relpath"]].reset_index(drop=True), rows], axis=1)
 

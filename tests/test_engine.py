@@ -186,6 +186,52 @@ def test_reports(engine, tmp_path):
     assert {r["relpath"]: r["profile_total"] for r in engine.files.collect()}["app.py"] == 7.0
 
 
+def test_history_and_names_are_found_anew(engine):
+    before = {r["relpath"]: r["churn"] for r in engine.history()["hot_files"].collect()}
+    with open(f"{engine.root}/app.py", "a") as f:
+        f.write("\n# one more line\n" * 5)
+    call = ["git", "-C", engine.root, "-c", "user.name=N", "-c", "user.email=n@example.org"]
+    subprocess.run([*call, "commit", "-qam", "more"], check=True)
+    after = {r["relpath"]: r["churn"] for r in engine.history()["hot_files"].collect()}
+    assert after["app.py"] == before["app.py"] + 10
+    stored = {r["relpath"]: r["churn"] for r in engine.files.collect()}
+    assert stored["app.py"] == before["app.py"]  # without another scan
+    kinds = lambda df: sorted((r["relpath"], r["ord"], r["kind"]) for r in df.collect())
+    assert kinds(engine.names()) == kinds(engine.table("name_flags").join(engine.symbols.select("relpath", "ord"), ["relpath", "ord"]))
+    assert {r["relpath"] for r in engine.file_rank().collect()} == set(stored)
+
+
+def test_a_scan_out_of_time_keeps_what_it_had(engine):
+    known = {(r["relpath"], r["name"]) for r in engine.symbols.collect()}
+    digest = {r["relpath"]: r["digest"] for r in engine.files.collect()}
+    with open(f"{engine.root}/core/store.py", "a") as f:
+        f.write("\n\ndef too_late():\n    return 2\n")
+    summary = engine.scan(git=True, budget_seconds=0)
+    assert (summary["parsed"], summary["late"] >= 1) == (0, True)
+    assert {(r["relpath"], r["name"]) for r in engine.symbols.collect()} == known
+    assert {r["relpath"]: r["digest"] for r in engine.files.collect()} == digest
+    again = engine.scan(git=True, budget_seconds=600, model="quarry.functions.vectors:stub_vector")
+    assert again["parsed"] >= 1 and again["late"] == 0 and again["model"] == "quarry.functions.vectors:stub_vector"
+    assert engine.symbols.filter("name = 'too_late'").count() == 1
+
+
+def test_views(engine, capsys):
+    from quarry.__main__ import _show
+
+    _show({"issues": [{"a": i, "b": "x" * i} for i in range(40)], "unresolved_callees": [str(i) for i in range(30)]}, False)
+    out = capsys.readouterr().out
+    assert "  14  " in out and "  15  " not in out and "11, ... and more" in out
+    _show({"files": engine.files, "n": 1, "none": []}, True)
+    told = json.loads(capsys.readouterr().out)
+    assert len(told["files"]) == engine.files.count() and told["none"] == []
+
+
+def test_reset(engine):
+    engine.reset()
+    assert engine.files.count() == 0 and engine.table("meta").count() > 0
+    assert engine.scan()["parsed"] == 7
+
+
 def test_stream_tags(spark, tmp_path):
     from quarry.streaming.watch import churn_windows, tag_stream
 

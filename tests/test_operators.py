@@ -142,3 +142,13 @@ def test_quantile_cut(spark):
     scores = spark.createDataFrame([(float(i),) for i in range(21)], "x double")
     assert clones.quantile_cut(scores, "x", 0.15).first()["cut"] == 3.0
     assert clones.quantile_cut(scores.limit(0), "x", 0.15).first()["cut"] is None
+
+
+def test_quantile_cut_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(clones, "SORTED", 5)
+    monkeypatch.setattr(clones, "RANGES", 3)
+    values = [((i * 37) % 101) ** 3 / 7 for i in range(300)] + [5.0] * 200 + [None] * 3
+    scores = spark.createDataFrame([(v,) for v in values], "x double")
+    ordered = sorted(v for v in values if v is not None)
+    for q in (0.0, 0.15, 0.5, 0.77, 1.0):
+        assert clones.quantile_cut(scores, "x", q).first()["cut"] == ordered[int((len(ordered) - 1) * q + 0.5)]
