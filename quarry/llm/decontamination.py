@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm._spark import Renamed, word_array
+from quarry.llm._spark import Renamed, materialize, small_side, word_array
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -58,12 +58,12 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     Words are lower-cased. Returns the id column, item_id, n_shared, n_item (long), containment (double), one row
     a pair; a repeated id with an equal text gives one. Null or blank texts and items match nothing; very long texts are read whole;
     texts shorter than a shingle hold none of it. Empty tables give empty results. Extra columns are ignored.
-    Search: windows of all texts whose hash is at most the largest of any sketch, joined on the hash.
+    Sketches and candidate pairs are written to the shared folder. Search: windows of all texts whose hash is at most the largest of any sketch, joined on the hash.
     Verification: the candidate texts' windows as words, joined with all shingles of the item.
     """
-    shingles = item_shingles(items, item_id, item_text)
+    shingles = materialize(item_shingles(items, item_id, item_text), "shingles")
     # Sizes that occur, and the largest sketch hash of each: at most five rows, read to plan the search.
-    sketch = sketches(shingles, containment)
+    sketch = materialize(sketches(shingles, containment), "sketches")
     limits = {r["size"]: r["top"] for r in sketch.groupBy("size").agg(F.max("h").alias("top")).collect()}
     source = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     texts = source.select("_id", F.xxhash64("_text").alias("_tag"), word_array(F.lower("_text")).alias("_w"))
@@ -75,9 +75,9 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     empty = f"{_type(docs, id_col)}, item_id {_type(items, item_id)}, n_shared bigint, n_item bigint, containment double"
     if pairs is None:
         return docs.sparkSession.createDataFrame([], f"{id_col} {empty}")
-    pairs = pairs.distinct()
-    # the texts of candidates only; equal rows of one id count once
-    wanted = pairs.select("_id", "_tag").distinct()
+    pairs = materialize(pairs.distinct(), "candidates")
+    # the texts of candidates only, so texts move only where candidates are too many to broadcast; equal rows of one id count once
+    wanted = small_side(pairs.select("_id", "_tag").distinct())
     match = source["_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(source["_text"]) == wanted["_tag"])
     held = source.join(wanted, match, "left_semi").select("_id", F.xxhash64("_text").alias("_tag"), word_array(F.lower("_text")).alias("_w"))
     hits = None
@@ -103,6 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     own = Renamed(docs)
     key = own.name(id_col)
     tainted = find_contained(own.df, items, key, own.name(text), **options).select(F.col(key).alias("_tainted")).distinct()
+    tainted = small_side(materialize(tainted, "tainted"))
     return own.df.join(tainted, own.df[key].eqNullSafe(tainted["_tainted"]), "left_anti").select(*own.restored())
 
 
