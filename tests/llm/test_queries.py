@@ -46,6 +46,34 @@ def test_sharding_query(spark, duck):
     assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(16))
 
 
+def test_sharding_query_deals_whole_texts(spark, tmp_path, monkeypatch):
+    """The operator gets the texts themselves, and digests are those of the texts that it returns."""
+    from quarry.llm import sharding
+
+    texts = [None, "", "same", "same", "é\n 語 😀", "long " * 20_000, *[f"text {i}" for i in range(40)]]
+    table = list(enumerate(texts)) + [(3, "same"), (3, "other"), (None, "no id")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    real, given, returned = sharding.shard, [], []
+
+    def marked(docs, *args, **kwargs):
+        given.append(docs)
+        returned.append(real(docs, *args, **kwargs).withColumn("text", F.concat("text", F.lit(" é"))))
+        return returned[0]
+
+    monkeypatch.setattr(sharding, "shard", marked)
+    rows = QUERIES["op7_sharding"](spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in given[0].collect()) == Counter(table)
+
+    def digests(r):
+        data = (r["text"] or "").encode()
+        return r["doc_id"], len(data) + 1, zlib.crc32(data), r["shard"], r["slot"]
+
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows) == Counter(map(digests, returned[0].collect()))
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(table) and set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(k)) for s, k in sizes.items())
+
+
 def test_quality_query_agrees_with_labels(spark, duck):
     kept = {r["doc_id"]: r["kept"] for r in QUERIES["op2_quality_model"](spark, SF).collect()}
     rows = duck.sql("select doc_id, quality from labels").fetchall()
