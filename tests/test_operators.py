@@ -152,3 +152,29 @@ def test_quantile_cut_by_counting(spark, monkeypatch):
     ordered = sorted(v for v in values if v is not None)
     for q in (0.0, 0.15, 0.5, 0.77, 1.0):
         assert clones.quantile_cut(scores, "x", q).first()["cut"] == ordered[int((len(ordered) - 1) * q + 0.5)]
+
+
+def _prints(spark, n, stem="", callees=6):
+    rows = [(f"f{i % 3}.py", i, f"load{stem}_{i}" if stem else "load", ["db"] if i % 3 else [], sorted(f"c{(i * 7 + k * k) % 11}" for k in range(i % callees)), 1 + i * 5 % 31) for i in range(n)]
+    return spark.createDataFrame(rows, "relpath string, ord int, name string, fp_effects array<string>, fp_callees array<string>, cyclomatic int"), rows
+
+
+def _overlap(a, b):
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+    return 0.4 * jac(a[3], b[3]) + 0.4 * jac(a[4], b[4]) + 0.2 * (1.0 - min(abs(a[5] - b[5]) / 20.0, 1.0))
+
+
+def test_homonyms_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(name_health, "BLOCK", 8)
+    symbols, rows = _prints(spark, 50)
+    want = sorted((*min(a[:2], b[:2]), round(1.0 - _overlap(a, b), 9)) for i, a in enumerate(rows) for b in rows[:i] if _overlap(a, b) < 0.35)
+    got = sorted((r["relpath"], r["ord"], round(r["score"], 9)) for r in name_health.homonyms(symbols).collect())
+    assert got == want and len(want) > 50
+
+
+def test_label_rows_repeat_counted_flags_in_their_place(spark):
+    symbols, _ = _prints(spark, 40)
+    symbols = symbols.withColumn("start_line", F.lit(1))
+    counted = name_health.label_rows(name_health.counted_homonyms(symbols), symbols).collect()
+    assert counted == name_health.label_rows(name_health.homonyms(symbols), symbols).collect() and len(counted) > 50
+    assert [r["score"] for r in counted] == sorted((r["score"] for r in counted), reverse=True)
