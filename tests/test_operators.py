@@ -178,3 +178,16 @@ def test_label_rows_repeat_counted_flags_in_their_place(spark):
     counted = name_health.label_rows(name_health.counted_homonyms(symbols), symbols).collect()
     assert counted == name_health.label_rows(name_health.homonyms(symbols), symbols).collect() and len(counted) > 50
     assert [r["score"] for r in counted] == sorted((r["score"] for r in counted), reverse=True)
+
+
+@pytest.mark.parametrize("threshold", [0.2, None, 0.8])
+def test_same_stem_judges_pairs_only_between_its_bounds(spark, monkeypatch, threshold):
+    symbols, rows = _prints(spark, 60, "x")
+    mean = sum(_overlap(a, b) for i, a in enumerate(rows) for b in rows[:i]) / (60 * 59 / 2)
+    monkeypatch.setattr(name_health, "BLOCK", 16)
+    if threshold is None:
+        assert name_health.same_stem(symbols, mean * 0.999).count() == 0
+        assert name_health.same_stem(symbols, mean * 1.001).count() == 60
+        return
+    monkeypatch.setattr(name_health, "_over_pairs", None)  # far from the mean no pair is needed
+    assert name_health.same_stem(symbols, threshold).count() == (60 if mean < threshold else 0)
