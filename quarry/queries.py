@@ -502,8 +502,8 @@ _BYTES = "[('0x' || substr(sha256(html), (i % 32) * 2 + 1, 2))::INT for i in ran
 
 @query(f"SELECT page_id, array_to_string([printf('%.3f', x / sqrt(list_sum([y * y for y in b]))) for x in b], ' ') AS vector FROM (SELECT page_id, {_BYTES} AS b FROM pages)")
 def stub_vectors(spark, d):
-    rows = embed.embed_symbols(spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.lit("n").alias("name"), F.col("html").alias("signature"), F.lit("").alias("docstring"), F.lit("").alias("body")))
-    return rows.select("page_id", F.array_join(F.transform("embed_sig", lambda x: F.format_string("%.3f", x.cast("double"))), " ").alias("vector"))
+    rows = embed.embed_symbols(spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.lit("n").alias("name"), F.col("html").alias("signature"), F.lit("").alias("docstring"), F.lit("").alias("body")), vectors.stub_doubles)
+    return rows.select("page_id", F.array_join(F.transform("embed_sig", vectors.three_decimals), " ").alias("vector"))
 
 
 # --- history --------------------------------------------------------------------------------------

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import names, paths, tags
+from quarry.functions import names, paths, tags, vectors
 
 
 def column(spark, values, make):
@@ -75,3 +77,16 @@ def test_paths(spark):
     assert column(spark, ["docs/a.py", "src/docs_view.rs", "x/README.md", "start-dev.sh", "Cargo.lock", "src/a.py"], paths.is_noise_partner) == [True, False, True, True, True, False]
     patterns = paths.ignore_patterns("*.log\n# x\nbuild/\nsrc/*.gen.py\n")
     assert column(spark, ["a/b.log", "build", "build/x", "src/q.gen.py", "src/q.py"], lambda v: paths.is_ignored(v, patterns)) == [True, True, False, True, False]
+
+
+def test_three_decimals_round_the_double_as_c_does(spark):
+    values = [m / n for n in (8.0, 16.0, 400.0, 1200.0, 2000.0) for m in range(int(min(n, 255)) + 1)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", vectors.three_decimals(F.col("v")).alias("x"))
+    assert [r["x"] for r in sorted(rows.collect(), key=lambda r: r["i"])] == ["%.3f" % v for v in values]
+
+
+def test_stub_vectors_are_whole_numbers_through_one_root(spark):
+    text = "page 17"
+    byte = list(hashlib.sha256(text.encode()).digest()) * 2
+    norm = sum(x * x for x in byte) ** 0.5
+    assert column(spark, [text], vectors.stub_doubles) == [[x / norm for x in byte]]
