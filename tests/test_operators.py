@@ -191,3 +191,14 @@ def test_same_stem_judges_pairs_only_between_its_bounds(spark, monkeypatch, thre
         return
     monkeypatch.setattr(name_health, "_over_pairs", None)  # far from the mean no pair is needed
     assert name_health.same_stem(symbols, threshold).count() == (60 if mean < threshold else 0)
+
+
+@pytest.mark.parametrize("bounds", [{"BLOCK": 16}, {"BLOCK_NUMBERS": 200, "PRODUCTS": 100}])
+def test_vector_pairs_in_blocks_and_stripes_are_all_pairs(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(clones, name, value)
+    rows = [(i, [float((i * k * k + 3 * i) % 7 - 3) for k in range(1, 6)]) for i in range(300)]
+    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for i, v in rows}
+    want = {(a, b) for a in unit for b in range(a + 1, 300) if sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) >= 0.9 + 1e-12}
+    got = [(r["a"], r["b"]) for r in clones.vector_pairs(spark.createDataFrame(rows, "id long, embedding array<float>"), 0.9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
