@@ -122,9 +122,12 @@ FROM {embeddings} a LEFT JOIN {embeddings} b ON b.vec_id = a.vec_id + 1 LEFT JOI
 """
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A binding in Spark."""
+def rows(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """A binding in Spark. spread: its tables are dealt to all cores first, where little data makes much work."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    if spread:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+        used = {t: df.repartition(parts) for t, df in used.items()}
     return spark.sql(sql.replace("{seconds}", "unix_timestamp(o_orderdate)"), **used)
 
 

@@ -623,7 +623,7 @@ SRC = f"src AS ({B.duck(B.SOURCES)})"
 
 
 def _parsed(spark, d):
-    raw = B.rows(spark, d, B.SOURCES)
+    raw = B.rows(spark, d, B.SOURCES, spread=True)  # a few MB of parts are hundreds of MB of files to parse
     return tree.parse_files(raw.select("relpath", F.encode("content", "UTF-8").alias("content"), "language")), raw.select("relpath", F.lit(False).alias("is_test"))
 
 

@@ -202,3 +202,12 @@ def test_vector_pairs_in_blocks_and_stripes_are_all_pairs(spark, monkeypatch, bo
     want = {(a, b) for a in unit for b in range(a + 1, 300) if sum(x * y for x, y in zip(unit[a], unit[b], strict=True)) >= 0.9 + 1e-12}
     got = [(r["a"], r["b"]) for r in clones.vector_pairs(spark.createDataFrame(rows, "id long, embedding array<float>"), 0.9).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_parsed_tables_are_dealt_to_all_cores(spark):
+    from quarry import bindings, queries
+
+    raw = bindings.rows(spark, "/root/testdata/sf0.001", bindings.SOURCES, spread=True)
+    assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    parsed, _ = queries._parsed(spark, "/root/testdata/sf0.001")
+    assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
