@@ -189,7 +189,7 @@ def test_same_stem_judges_pairs_only_between_its_bounds(spark, monkeypatch, thre
         assert name_health.same_stem(symbols, mean * 0.999).count() == 0
         assert name_health.same_stem(symbols, mean * 1.001).count() == 60
         return
-    monkeypatch.setattr(name_health, "_over_pairs", None)  # far from the mean no pair is needed
+    monkeypatch.setattr(name_health, "over_pairs", None)  # far from the mean no pair is needed
     assert name_health.same_stem(symbols, threshold).count() == (60 if mean < threshold else 0)
 
 
@@ -211,3 +211,17 @@ def test_parsed_tables_are_dealt_to_all_cores(spark):
     assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     parsed, _ = queries._parsed(spark, "/root/testdata/sf0.001")
     assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("bounds", [(700, 700), (10**6, 10**6)])
+def test_token_clones_in_blocks_are_all_pairs(spark, monkeypatch, bounds):
+    monkeypatch.setattr(clones, "SET_BOUNDS", bounds)
+    monkeypatch.setattr(clones, "SET_WEIGHT", 100)
+    words = [[f"w{(i % 4 + 1) * k % 53}x{k + (i // 4 if k > 30 + i % 9 else 0)}" for k in range(45)] for i in range(40)]
+    rows = [(f"f{i % 3}.py", i, "f", " ".join(["lead" if i % 5 else "other", *w])) for i, w in enumerate(words)]
+    sets = {r[:2]: (r[3].split()[0], {tuple(r[3].split()[k : k + 5]) for k in range(42)}) for r in rows}
+    jac = lambda a, b: len(a & b) / len(a | b)
+    want = {(a, b): round(jac(sets[a][1], sets[b][1]), 9) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and jac(sets[a][1], sets[b][1]) >= 0.55}
+    found = clones.token_clones(spark.createDataFrame(rows, "relpath string, ord int, name string, body string")).collect()
+    assert len(found) == len(want) > 20
+    assert {((r["a_relpath"], r["a_ord"]), (r["b_relpath"], r["b_ord"])): round(r["score"], 9) for r in found} == want
